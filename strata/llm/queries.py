@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, license_scan, mixing, quality_classifier, quality_rules, token_counts, warc
+from strata.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, warc
 from strata.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest is of the text that is left, in UTF-8."""
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines_dropped", "n_lines_near", "n_lines_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -43,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op9_quality_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op9_quality_rules, op10_quality)}
 ORACLE_SQL = {"op6_mix": mixing.MIX_SQL}
