@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, warc
+from strata.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, token_counts, warc
 from strata.llm.common import table
 
 
@@ -44,6 +44,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of documents whose id is divisible by 50, as queries against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op9_quality_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality)}
 ORACLE_SQL = {"op6_mix": mixing.MIX_SQL}
