@@ -50,8 +50,8 @@ def count_tokens(docs: DataFrame, spans: DataFrame | None = None, rule: str = "m
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     path = path or public_vocabulary()
-    rows = texts(docs)
-    if spans is not None:
+    rows, by_line = texts(docs), spans is None
+    if not by_line:
         valid = spans.where("first_char is not null and end_char > first_char").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_char", "end_char"))).alias("spans"))
         rows = rows.join(valid, "doc_id", "left")
 
@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, spans: DataFrame | None = None, rule: str = "m
 
         def handle(batch):
             for doc, text, own in zip(batch["doc_id"], batch["text"], batch.get("spans", [()] * len(batch["doc_id"])), strict=True):
-                lo, hi = lines_of(text) if spans is None else np.array([(s["first_char"], s["end_char"]) for s in own or []], np.int64).reshape(-1, 2).T
+                lo, hi = lines_of(text) if by_line else np.array([(s["first_char"], s["end_char"]) for s in own or []], np.int64).reshape(-1, 2).T
                 starts, ends = pairs.spans(text, pairs.encode(text))
                 at = attribute(starts, ends, lo, hi, rule)
                 n = np.bincount(at + 1, minlength=len(lo) + 1).tolist()

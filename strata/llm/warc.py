@@ -211,7 +211,7 @@ def read_archives(spark: SparkSession, folder: str, glob: str = "*.warc*") -> Da
 
     payload is the HTTP body (of other records: the block), null for revisits and gaps; payload_bytes and payload_digest
     are of the full payload, which for a revisit its stored HTTP headers and WARC headers tell. An archive is read by one
-    task, so it must fit there; the writer's are about ARCHIVE_BYTES. Without archives the result is empty.
+    task, so it must fit there; the writer's are about ARCHIVE_BYTES. A folder without archives gives an empty result.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
 
@@ -247,5 +247,6 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least: int =
     """Writes the pages' archives (to folder, or a new one in the shared scratch folder) and reads them back."""
     spark = pages.sparkSession
     folder = folder or scratch(spark)
-    write_archives(pages, folder, least)
+    if not write_archives(pages, folder, least).limit(1).count():
+        return spark.createDataFrame([], RECORDS)
     return read_archives(spark, folder)
