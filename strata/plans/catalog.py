@@ -127,7 +127,7 @@ def scan_csv_modes(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth row has a word for a number."""
     path, schema = sinks.scratch(spark), T.StructType.fromDDL("doc_id bigint, n_chars bigint")
     table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "many").otherwise(F.col("n_chars").cast("string")).alias("n_chars")).write.option("header", True).csv(path)
-    good, bad = readers.split_corrupt(readers.read_csv(spark, path, schema, corrupt=True))
+    good, bad = readers.split_corrupt(stored(spark, readers.read_csv(spark, path, schema, corrupt=True)))
     dropped = readers.read_csv(spark, path, schema, mode="DROPMALFORMED").select("doc_id", F.col("n_chars").alias("n"))
     kept = good.select(F.lit("PERMISSIVE").alias("read_mode"), F.lit(1).alias("g"), F.lit(0).alias("c")).unionAll(bad.select(F.lit("PERMISSIVE"), F.lit(0), F.lit(1)))
     rows = kept.unionAll(dropped.where("n is not null").select(F.lit("DROPMALFORMED"), F.lit(1), F.lit(0)))

@@ -21,7 +21,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, glob: str |
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", corrupt: bool = False, **options) -> DataFrame:
-    """CSV with a header. mode: PERMISSIVE, DROPMALFORMED or FAILFAST; corrupt adds the text of malformed rows.
+    """CSV with a header. mode: PERMISSIVE, DROPMALFORMED or FAILFAST; corrupt adds the text of malformed rows (write the result
+    before asking for that text alone: Spark doesn't parse rows for it only).
 
     Text fields are quoted when written, so that null (nothing) and the empty string ("") differ.
     """

@@ -47,20 +47,31 @@ def overview_types() -> dict[str, str]:
     return {n: named.get(n, "double") for n in OVERVIEW_NAMES if n not in OVERVIEW_STRINGS}
 
 
-OVERVIEW_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in OVERVIEW_NAMES])
-
 BAR_FIELDS = {"1. open": "open", "2. high": "high", "3. low": "low", "4. close": "close", "5. volume": "volume"}
 DAILY_SERIES, WEEKLY_SERIES = "Time Series (Daily)", "Weekly Time Series"
 
 
 def series_schema(series: str) -> T.StructType:
     """A document of one symbol: its meta data and a map of date to prices, all strings."""
-    strings = lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return T.StructType([T.StructField("Meta Data", strings(("2. Symbol", "3. Last Refreshed"))), T.StructField(series, T.MapType(T.StringType(), strings(BAR_FIELDS)))])
+    return struct(**{"Meta Data": struct("2. Symbol", "3. Last Refreshed"), series: T.MapType(T.StringType(), struct(*BAR_FIELDS))})
+
+
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+
+
+def struct(*names: str, **kinds: str | T.DataType) -> T.StructType:
+    """A struct of string fields, and of fields of other kinds; needs no session, as parsing DDL does."""
+    return T.StructType([T.StructField(n, TYPES[k] if isinstance(k, str) else k) for n, k in (dict.fromkeys(names, "string") | kinds).items()])
 
 
-ITEMS_SCHEMA = T.StructType.fromDDL("etag string, kind string, nextPageToken string, regionCode string, items array<struct<etag string, id struct<kind string, videoId string>, kind string, snippet struct<assignable string, channelId string, channelTitle string, description string, liveBroadcastContent string, publishTime string, publishedAt string, thumbnails string, title string>>>")
-TRENDING_SCHEMA = T.StructType.fromDDL("video_id string, trending_date date, title string, channel_title string, category_id int, publish_time timestamp, tags string, views bigint, likes bigint, dislikes bigint, comment_count bigint, thumbnail_link string, comments_disabled boolean, ratings_disabled boolean, video_error_or_removed boolean, description string")
+OVERVIEW_SCHEMA = struct(*OVERVIEW_NAMES)
+SNIPPET = struct("assignable", "channelId", "channelTitle", "description", "liveBroadcastContent", "publishTime", "publishedAt", "thumbnails", "title")
+ITEM = struct(etag="string", id=struct("kind", "videoId"), kind="string", snippet=SNIPPET)
+ITEMS_SCHEMA = struct("etag", "kind", "nextPageToken", "regionCode", items=T.ArrayType(ITEM))
+TRENDING_SCHEMA = struct(
+    video_id="string", trending_date="date", title="string", channel_title="string", category_id="int", publish_time="timestamp", tags="string", views="bigint", likes="bigint", dislikes="bigint",
+    comment_count="bigint", thumbnail_link="string", comments_disabled="boolean", ratings_disabled="boolean", video_error_or_removed="boolean", description="string",
+)
 
 PRICES = ("open", "high", "low", "close")
 Rule = tuple[str, Column]
@@ -110,4 +121,7 @@ WEEKLY = BarSpec("weekly", "week_date", "weekly", WEEKLY_SERIES, "week", ("year"
 
 GOLD_BARS = ["symbol", "day_date", *PRICES, "volume", "daily_change", "daily_change_percentage", "market_movement", "thirty_day_avg_open", "thirty_day_avg_close", "all_time_high", "all_time_low", "processed_at"]
 
-STATE_SCHEMA = T.StructType.fromDDL("pipeline_name string, dataset_name string, watermark_column string, watermark_key string, watermark_value string, last_processed_at timestamp, batch_id string, status string, updated_at timestamp, updated_by string, remarks string, content_hash string")
+STATE_SCHEMA = struct(
+    pipeline_name="string", dataset_name="string", watermark_column="string", watermark_key="string", watermark_value="string", last_processed_at="timestamp", batch_id="string", status="string",
+    updated_at="timestamp", updated_by="string", remarks="string", content_hash="string",
+)
