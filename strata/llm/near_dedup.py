@@ -25,6 +25,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: 20 bands of 4 registers find a pair of similarity 0.8 with probability 1 - 3e-5.
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
+MASKS = 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,16 +118,20 @@ def signed(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, hash binary, n long, bands array<long>")
 
 
-def overlap(a: list[bytes], b: list[bytes], hashes: WordHashes) -> float:
-    """Weighted Jaccard similarity of two documents' multisets of shingles."""
-    (ka, ca), (kb, cb) = shingles(a, hashes), shingles(b, hashes)
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """The overlap of two multisets of shingles, and the keys of b of which a has fewer."""
+    (ka, ca), (kb, cb) = a, b
     _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    both = int(np.minimum(ca[i], cb[j]).sum())
-    return both / (int(ca.sum()) + int(cb.sum()) - both)
+    short = np.ones(len(kb), bool)
+    short[j] = ca[i] < cb[j]
+    return int(np.minimum(ca[i], cb[j]).sum()), kb[short]
 
 
-def verified(pairs: DataFrame, candidates: DataFrame, similar: float) -> DataFrame:
-    """Of pairs (a, b), those whose multisets overlap enough. A text goes along once a pair, its hub's once a task."""
+def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes a_n and b_n, the overlap `both`, and 64 * MASKS bits of which shingles of b a lacks.
+
+    A text goes along once a pair, from which the multisets are made again: they are larger.
+    """
     with_a = pairs.join(candidates.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(candidates.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -134,12 +139,19 @@ def verified(pairs: DataFrame, candidates: DataFrame, similar: float) -> DataFra
         hashes = WordHashes()
 
         def handle(batch):
-            for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if overlap(x.encode("utf-8", "replace").split(), y.encode("utf-8", "replace").split(), hashes) >= similar:
-                    yield a, b
+            for a, b, *text in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
+                bag_a, bag_b = (shingles(t.encode("utf-8", "replace").split(), hashes) for t in text)
+                common, lacks = overlap(bag_a, bag_b)
+                mask = np.zeros(MASKS, np.uint64)
+                np.bitwise_or.at(mask, (lacks % np.uint64(MASKS)).astype(np.int64), np.uint64(1) << (lacks >> np.uint64(32)) % np.uint64(64))
+                yield a, b, int(bag_a[1].sum()), int(bag_b[1].sum()), common, *mask.view(np.int64).tolist()
         return handle
 
-    return map_rows(both, make, "a long, b long").distinct()
+    return map_rows(both, make, f"a long, b long, a_n long, b_n long, both long, {', '.join(f'm{i} long' for i in range(MASKS))}")
+
+
+def similar_pairs(found: DataFrame, similar: float) -> DataFrame:
+    return found.where(F.col("both") >= similar * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -156,7 +168,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def rare_shingles(candidates: DataFrame) -> DataFrame:
+def lone_shingles(candidates: DataFrame) -> DataFrame:
     """node, alone: how many of the node's shingles (with repeats) no other candidate has."""
     def make():
         hashes = WordHashes()
@@ -173,7 +185,12 @@ def rare_shingles(candidates: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(classes, labels): doc_id -> node, the smallest id with the same words; node -> group for nodes with links."""
+    """(classes, labels): doc_id -> node, the smallest id with the same words; node -> group for nodes with links.
+
+    Pairs that share a band are compared unless an upper bound of their overlap is too small, and these bounds are exact:
+    a shingle that no other candidate has is in no overlap; and what two documents lack of the hub that both were
+    compared with, they can't have in common.
+    """
     docs = texts(docs).where("doc_id is not null")
     every = materialise(signed(docs))
     classes = materialise(every.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -182,49 +199,53 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
     members = materialise(joined(buckets, full, "key", "inner").dropDuplicates(["key", "node"]))
     nodes = materialise(members.select("node").distinct())
     candidates = materialise(joined(docs.withColumnRenamed("doc_id", "node"), nodes, "node", "left_semi"))
-    # A shingle that no other candidate has can't be in an overlap; what is left bounds every similarity of the node.
-    alone = materialise(rare_shingles(candidates))
-    share = F.lit(similar / (1 + similar))
-    members = joined(members, alone, "node", "left").select("key", "node", "n", "size", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    members = members.where(F.col("most") >= share * (1 + similar) * F.col("n") - 1e-6)
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = materialise(members.join(degree, "node"))
-    able = lambda x, y: F.least(f"{x}most", f"{y}most") >= share * (F.col(f"{x}n") + F.col(f"{y}n")) - 1e-6
-
-    def hubs(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.max(F.struct("degree", "node", "n", "most")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.most").alias("b_most"), F.col("hub.degree").alias("b_degree"))
-
-    def to_hub(rows: DataFrame) -> DataFrame:
-        own = rows.withColumnsRenamed({"n": "a_n", "most": "a_most", "node": "a"})
-        return own.join(hubs(rows), "key").where((F.col("a") != F.col("b")) & able("a_", "b_"))
+    members = joined(members, materialise(lone_shingles(candidates)), "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    share = similar / (1 + similar)
+    members = members.where(F.col("most") >= similar * F.col("n") - 1e-6)  # overlap >= share * (n + similar * n) at least
+    members = materialise(members.join(members.groupBy("node").agg(F.sum("size").alias("degree")), "node").drop("size"))
 
     # First each node with the hub of largest degree that it meets.
     best = to_hub(members).groupBy("a").agg(F.max(F.struct("b_degree", "b")).alias("hub")).select("a", F.col("hub.b").alias("b"))
-    tested = materialise(best)
-    linked = materialise(verified(tested, candidates, similar))
+    with_hub = materialise(compared(best, candidates))
+    linked, tested = similar_pairs(with_hub, similar), with_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(linked)
-    # Then every hub, for nodes still in another group.
+    masks = [f"m{i}" for i in range(MASKS)]
+    seen = with_hub.dropDuplicates(["a"]).select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("b_n").alias("hub_n"), (F.col("a_n") - F.col("both")).alias("extra"), *masks)
+    members = materialise(members.join(seen, "node", "left").withColumn("extra", F.col("extra") - F.coalesce("alone", F.lit(0))))
+    carried = ["node", "n", "most", "hub", "hub_n", "extra", "group", *masks]
+    lack = sum((F.bit_count(F.col(f"a_{m}").bitwiseOR(F.col(f"b_{m}"))) for m in masks), F.lit(0))
+    by_hub = F.col("a_hub").isNull() | F.col("b_hub").isNull() | (F.col("a_hub") != F.col("b_hub")) | (F.col("a_hub_n") - lack + F.least("a_extra", "b_extra") >= share * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    able = (F.least("a_most", "b_most") >= share * (F.col("a_n") + F.col("b_n")) - 1e-6) & by_hub
+
+    # Then every bucket's hub, for nodes still in another group; at last any pair of a bucket still in two groups, which
+    # are the nodes outside the bucket's largest group with all others.
     for last in (False, True):
         now = members.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        open_keys = now.groupBy("key").agg(F.count_distinct("group").alias("k"), F.mode("group").alias("most_common")).where("k > 1").drop("k")
+        open_keys = now.groupBy("key").agg(F.count_distinct("group").alias("k"), F.mode("group", True).alias("largest"), F.max(F.struct("degree", "node")).alias("top")).where("k > 1").drop("k")
         now = materialise(now.join(open_keys, "key"))
+        a, b = (now.select("key", "largest", "top", *(F.col(c).alias(f"{side}_{c}") for c in carried)).withColumnRenamed("key", f"{side}_key") for side in "ab")
         if last:
-            # At last whatever pair of a bucket is still in two groups: of nodes outside its largest group with all.
-            right = now.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("most").alias("b_most"), F.col("group").alias("b_group"))
-            left = now.where("group != most_common").select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("most").alias("a_most"), F.col("group").alias("a_group"), "most_common")
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_group") != F.col("b_group")) & ((F.col("b_group") == F.col("most_common")) | (F.col("a") < F.col("b"))) & able("a_", "b_"))
+            a, b = a.where("a_group != largest"), b.drop("largest", "top")
+            which = (F.col("b_group") == F.col("largest")) | (F.col("a_node") < F.col("b_node"))
         else:
-            hub_group = labels.select(F.col("node").alias("b"), F.col("group").alias("hub_group"))
-            pairs = to_hub(now.drop("most_common")).join(hub_group, "b", "left").where(F.col("group") != F.coalesce("hub_group", "b"))
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+            b, which = b.where("b_node = top.node").drop("largest", "top"), F.lit(True)
+        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_group") != F.col("b_group")) & which & able)
+        pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
-        more = materialise(verified(pairs, candidates, similar))
+        more = materialise(similar_pairs(compared(pairs, candidates), similar))
         if more.limit(1).count():
             linked = linked.union(more)
             labels = components(linked)
     return every.select("doc_id", "hash").join(classes.select("hash", "node"), "hash").select("doc_id", "node"), labels
 
 
+def to_hub(members: DataFrame) -> DataFrame:
+    """(a, b, b_degree): each node with the hub, the node of largest degree, of each of its buckets."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    return members.join(hubs.select("key", "hub"), "key").where("node != hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.degree").alias("b_degree"))
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the smallest id of the document's group) and text_id (the smallest id with the same words).
 
