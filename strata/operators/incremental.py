@@ -63,8 +63,9 @@ def content_hash(df: DataFrame, exclude: tuple[str, ...] = (), digits: int = 2)
 
 def hash_changed(df: DataFrame, state: DataFrame, dataset: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """One row: content_hash, previous_hash (null: never loaded) and changed."""
-    before = latest_state(state).where(F.col("dataset_name") == dataset).agg(F.max("content_hash").alias("previous_hash"))
-    return content_hash(df, exclude).join(F.broadcast(before)).withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("previous_hash")))  # one row each
+    before = latest_state(state).where(F.col("dataset_name") == dataset).select(F.col("content_hash").alias("previous_hash"))
+    both = content_hash(df, exclude).unionByName(before, allowMissingColumns=True).agg(F.max("content_hash").alias("content_hash"), F.max("previous_hash").alias("previous_hash"))
+    return both.withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("previous_hash")))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strata.spec import Rule
 
@@ -32,10 +33,10 @@ def counts(df: DataFrame) -> DataFrame:
 
 def reason_counts(df: DataFrame) -> DataFrame:
     """validation_reason, n and its share of all rows, in percent with two places."""
-    total = df.agg(F.count("*").alias("total"))
-    rejected = df.where("validation_reason is not null").groupBy("validation_reason").agg(F.count("*").alias("n"))
-    share = F.round((F.col("n") * 100).cast("decimal(28,8)") / F.col("total"), 2).cast("double")
-    return rejected.join(F.broadcast(total)).select("validation_reason", "n", share.alias("share"))  # total: one row
+    by_reason = df.groupBy("validation_reason").agg(F.count("*").alias("n"))  # a row per rule, and one for valid rows
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    share = F.round((F.col("n") * 100).cast("decimal(28,8)") / total, 2).cast("double")
+    return by_reason.withColumn("share", share).where("validation_reason is not null")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

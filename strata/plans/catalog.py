@@ -543,7 +543,7 @@ def stream_silver(spark: SparkSession, d: str) -> DataFrame:
 
 def ticks(df: DataFrame) -> DataFrame:
     bars = streams.tumbling_bars(df, "ts", "event_type", "value", "event_id")
-    return bars.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+    return bars.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))  # as the events' own times
 
 
 @query
@@ -555,10 +555,8 @@ def tick_bars(spark: SparkSession, d: str) -> DataFrame:
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     path, events = sinks.scratch(spark), table(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(stream_input(spark, events, path))
-    name = path.rpartition("-")[2]
-    query = ticks(source).writeStream.outputMode("complete").format("memory").queryName(f"bars_{name}").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(f"bars_{name}")
+    streams.stream_apply(ticks(source), lambda df: df, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/checkpoint", "complete")
+    return spark.read.parquet(f"{path}/out")
 
 
 def stream_input(spark: SparkSession, df: DataFrame, path: str) -> str:

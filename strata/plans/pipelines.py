@@ -105,7 +105,8 @@ class Run:
         columns = [c for c in DAILY.columns if c in fresh.columns]
         schema = fresh.select(*columns).schema
         history = readers.read_or_empty(self.spark, lambda: self.spark.read.parquet(silver_path).select(*columns), schema)
-        history = dedupe.latest(history, ["symbol", "day_date"], ["processed_at"])
+        touched = history.join(fresh.select("symbol").distinct(), "symbol", "left_semi").select(*columns)
+        history = dedupe.latest(touched, ["symbol", "day_date"], ["processed_at"])
         done = stats.history_stats(history, fresh.select(*columns), ["symbol"], "day_date", self.as_of).select(*DAILY.columns).withColumn("batch_id", F.lit(self.batch_id))
         wrote = sinks.write_parquet(done, silver_path, ("batch_id",), ("symbol", "day_date")).where(F.col("batch_id") == self.batch_id)
         new = incremental.new_marks(wrote, ["symbol"], "day_date")

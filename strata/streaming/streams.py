@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stream_apply(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def stream_apply(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs the batch transform on each micro-batch of what is new, gives its result to sink(df, batch_id), then ends.
 
-    A batch that fails is given again under the same id: a sink that overwrites what that id wrote writes it once.
+    A batch that fails is given again under the same id: a sink that overwrites what that id wrote writes it once. With
+    mode "complete" every batch is the whole result of an aggregate, for a sink that overwrites.
     """
-    query = source.writeStream.foreachBatch(lambda df, n: sink(transform(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = source.writeStream.outputMode(mode).foreachBatch(lambda df, n: sink(transform(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
