@@ -86,9 +86,9 @@ def wide_columns() -> str:
 
 STAMPED = f"cast(2001 as int) as year, cast(8 as int) as month, cast(2 as int) as day, {STAMP}"
 TICKS = "select event_type symbol, date_trunc('day', ts) bar_start, arg_min(value, event_id) open, max(value) high, min(value) low, arg_max(value, event_id) \"close\", count(*) volume from events group by 1, 2"
-ROW_HASH = "sha256(concat_ws('|', coalesce(replace(replace(cast({} as varchar), chr(92), chr(92) || chr(92)), '|', chr(92) || 'p'), chr(92) || 'N')"
 BAR_HASH = "sha256(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), chr(92) || 'N')" for c in ("day_date", "symbol", "volume")) + "))"
-CONTENT = f"h as (select {BAR_HASH} h from bars), b as (select substr(h, 1, 2) b, sha256(string_agg(h, '' order by h)) h from h group by 1), c as (select sha256(string_agg(b || h, '' order by b, h)) content_hash from b)"
+SUMS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint)::varchar" for i in range(4))
+CONTENT = f"h as (select {BAR_HASH} h from bars), c as (select sha256(concat_ws(',', count(*)::varchar, {SUMS})) content_hash from h)"
 GOLD_BARS = "symbol, day_date, open, high, low, close, volume, daily_change, daily_change_percentage, market_movement, thirty_day_avg_open, thirty_day_avg_close, all_time_high, all_time_low, processed_at"
 CUT = "date '2000-12-31'"
 VIDEO = "select cast(doc_id as varchar) video_id, source channel_id, lang channel_title, cast(null as varchar) channel_description, cast(n_chars as varchar) publish_time, cast(null as varchar) publish_at, 'v' kind from documents"
