@@ -86,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     schema = to_arrow(pages.sparkSession, MANIFEST)
 
     def run(batches):
-        from pyarrow.fs import FileSystem
+        from pyarrow.fs import FileSystem, FileType
         from pyspark import TaskContext
 
         fs, root = FileSystem.from_uri(folder)
@@ -99,6 +99,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 stream, temporary, n, size = out
                 stream.close()
                 name = f"pages-{part:06d}-{number:04d}.warc.gz"
+                if fs.get_file_info(f"{root}/{name}").type != FileType.NotFound:  # of an earlier attempt; some stores don't replace
+                    fs.delete_file(f"{root}/{name}")
                 fs.move(temporary, f"{root}/{name}")
                 done.append((name, n, size))
                 out, number = None, number + 1
