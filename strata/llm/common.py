@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows and bytes of an Arrow batch: whole texts can be long, and a Python worker holds one batch at a time.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str) -> DataFrame:
+    """As map_rows, but the function yields tuples of whole columns (numpy or Arrow arrays): for many small rows."""
+    small_batches(df.sparkSession)
+    arrow = to_arrow(df.sparkSession, schema)
+
+    def run(batches):
+        handle = make()
+        for batch in batches:
+            for columns in handle(dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))):
+                yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
