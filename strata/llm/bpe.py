@@ -23,7 +23,7 @@ from strata.llm.common import map_rows, texts
 WHITE = r"\p{White_Space}"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|{WHITE}+(?![^{WHITE}])|{WHITE}+"
 NEVER = 1 << 30
-CACHED, PAIRS = 250_000, 1_000_000
+CACHED, PAIRS = 120_000, 300_000
 
 
 def byte_letters() -> list[str]:

@@ -105,7 +105,7 @@ def signed(docs: DataFrame) -> DataFrame:
             rows = [(doc, words) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if (words := text.encode("utf-8", "replace").split())]
             while rows:  # about as many words at a time, however long the texts
                 k, size = 0, 0
-                while k < len(rows) and (k == 0 or size + len(rows[k][1]) < 300_000):
+                while k < len(rows) and (k == 0 or size + len(rows[k][1]) < 150_000):
                     size += len(rows[k][1])
                     k += 1
                 part, rows = rows[:k], rows[k:]
