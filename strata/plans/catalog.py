@@ -212,9 +212,8 @@ def sink_dual_format(spark: SparkSession, d: str) -> DataFrame:
 @query
 def land_bronze(spark: SparkSession, d: str) -> DataFrame:
     path, docs = sinks.scratch(spark), table(spark, d, "documents")
-    for lang in ("en", "de", "fr", "es"):
-        sinks.land(docs.where(F.col("lang") == lang).select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value")), path, lang, "2001-08-02")
-    return spark.read.parquet(path).select("dataset", "key", F.length("value").cast("long").alias("n"))
+    sinks.land(docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), "lang"), path, F.col("lang"), "2001-08-02")
+    return readers.read_landed(spark, path).select("dataset", "key", F.length("value").cast("long").alias("n"))
 
 
 @query

@@ -57,6 +57,12 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """dataset, run_date, key and value as landed; names stay text, also those that look like numbers."""
+    rows = spark.read.schema("key string, value string, dataset_name string, dataset string, run_date string").parquet(path)
+    return rows.select(F.col("dataset_name").alias("dataset"), "run_date", "key", "value")
+
+
 def split_error_payloads(documents: DataFrame, keys: tuple[str, ...] = ERROR_KEYS) -> tuple[DataFrame, DataFrame]:
     """(data, errors) of raw documents with a column value: an error has one of the keys at its top; errors get `error`."""
     error = F.coalesce(*(F.get_json_object("value", f"$['{k}']") for k in keys))

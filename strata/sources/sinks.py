@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.sources.readers import read_parquet
@@ -50,9 +50,14 @@ def write_quarantine(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("validation_reason").parquet(path)
 
 
-def land(documents: DataFrame, path: str, dataset: str, run_date: str) -> None:
-    """Raw documents as they came (key, value), appended under their dataset and run."""
-    documents.withColumns({"dataset": F.lit(dataset), "run_date": F.lit(run_date)}).write.mode("append").partitionBy("dataset", "run_date").parquet(path)
+def land(documents: DataFrame, path: str, dataset: Column | str, run_date: str) -> None:
+    """Raw documents as they came (key, value), appended under their dataset and run in one write.
+
+    dataset: a column of documents, or one name for all. Rows with a null or new name are kept. Folder names can't tell an
+    empty name from null, so the name is also in the files (dataset_name); readers.read_landed gives it back.
+    """
+    name = F.lit(dataset).cast("string")
+    documents.select("key", "value", name.alias("dataset_name"), name.alias("dataset"), F.lit(run_date).alias("run_date")).write.mode("append").partitionBy("dataset", "run_date").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, target: str, rows_per_file: int = 5_000_000) -> None:
