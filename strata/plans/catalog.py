@@ -73,12 +73,19 @@ def series_documents(spark: SparkSession, d: str, rows: DataFrame, spec: BarSpec
     return readers.read_json(spark, path, series_schema(spec.series), multi_line=False)
 
 
+#: Items of a search result, about: results come in pages, so that none grows with its language.
+PAGE = 500
+
+
 def item_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Search results, one document per language."""
+    """Search results, some documents per language of about PAGE items at most. Rows are dealt to pages by their place, so
+    that repeated or null ids make no large page."""
     docs, path = table(spark, d, "documents"), sinks.scratch(spark)
+    pages = max(1, -(-docs.count() // PAGE))
     snippet = F.struct(F.col("source").alias("channelId"), F.col("lang").alias("channelTitle"), F.col("n_chars").cast("string").alias("publishTime"))
     item = F.struct(F.struct(F.lit("v").alias("kind"), F.col("doc_id").cast("string").alias("videoId")).alias("id"), snippet.alias("snippet"))
-    docs.groupBy(F.col("lang").alias("regionCode")).agg(F.collect_list(item).alias("items")).withColumn("kind", F.lit("search")).write.json(path)
+    rows = docs.select(F.col("lang").alias("regionCode"), item.alias("item"), (F.monotonically_increasing_id() % pages).alias("page"))
+    rows.groupBy("regionCode", "page").agg(F.collect_list("item").alias("items")).drop("page").withColumn("kind", F.lit("search")).write.json(path)
     return readers.read_json(spark, path, ITEMS_SCHEMA, multi_line=False)
 
 
@@ -112,7 +119,7 @@ def scan_json_record(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_json_items(spark: SparkSession, d: str) -> DataFrame:
-    return item_documents(spark, d).select("regionCode", F.size("items").cast("long").alias("n_items"))
+    return item_documents(spark, d).groupBy("regionCode").agg(F.sum(F.size("items")).alias("n_items"))
 
 
 @query
