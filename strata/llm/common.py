@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that may be broadcast, as bytes_of tells them; beyond it the same join is shuffled.
+BROADCAST_BYTES = 48 << 20
 #: Rows and bytes of an Arrow batch: whole texts can be long, and a Python worker holds one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
@@ -82,12 +83,28 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def joined(df: DataFrame, side: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df joined with a side that is usually small: broadcast if it counts at most `limit` rows, else shuffled.
+def bytes_of(side: DataFrame) -> int:
+    """About how many bytes the rows of a materialised side take once broadcast: its values, and 32 a row."""
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, T.ArrayType):
+            fixed = not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType)
+            return 24 + (8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) if fixed else F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        if isinstance(kind, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in kind), F.lit(16))
+        return F.lit(8)
 
-    side should be materialised, as counting it runs it.
+    rows = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in side.schema), F.lit(32)).cast("long")
+    return side.agg(F.sum(rows)).first()[0] or 0
+
+
+def joined(df: DataFrame, side: DataFrame, on: str | list[str] | Column, how: str, limit: int | None = None) -> DataFrame:
+    """df joined with a side that is usually small: broadcast if it has at most `limit` bytes, else shuffled.
+
+    side should be materialised, as measuring it runs it.
     """
-    return df.join(F.broadcast(side) if side.limit(limit + 1).count() <= limit else side, on, how)
+    return df.join(F.broadcast(side) if bytes_of(side) <= (BROADCAST_BYTES if limit is None else limit) else side, on, how)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -95,6 +112,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def part_of(text: str) -> Column:
+    """A hash of the text (null: empty), which tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def parted(docs: DataFrame) -> DataFrame:
+    """doc_id, part and text of the rows that have an id."""
+    return texts(docs).where("doc_id is not null").withColumn("part", part_of("text"))
+
+
 def words_ascii(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
