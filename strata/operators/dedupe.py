@@ -13,7 +13,5 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key with the largest order columns (nulls smallest); the key's rows are aggregated, not sorted."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*order)).alias("__row"))
-    return best.select(*keys, *(F.col(f"__row.`{c}`").alias(c) for c in rest)).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The row of each key with the largest order columns (nulls smallest), by keep_one."""
+    return keep_one(df, keys, [F.col(f"`{c}`").desc_nulls_last() for c in order])

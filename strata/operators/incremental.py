@@ -30,6 +30,11 @@ def after_mark(df: DataFrame, marks: DataFrame, keys: list[str], day: str, laten
     return known.where(F.col("mark").isNull() | (F.col(day) > F.date_sub("mark", lateness))).drop("mark")
 
 
+def is_empty(df: DataFrame) -> bool:
+    """Has df no row? Tasks stop at the first one that is found."""
+    return df.limit(1).count() == 0
+
+
 def new_marks(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     """The largest date of each key, or of all rows if there are no keys."""
     return df.groupBy(*keys).agg(F.max(day).alias("mark"))

@@ -14,7 +14,7 @@ from strata.plans import pipelines as pl
 from strata.plans.fixtures import AS_OF, RUN_TS, fixture, table
 from strata.plans.oracles import ORACLE
 from strata.sources import readers, sinks
-from strata.spec import BAR_FIELDS, DAILY, DAILY_SERIES, ITEMS_SCHEMA, OVERVIEW_DEFAULTS, OVERVIEW_NAMES, OVERVIEW_SCHEMA, PRICES, STATE_SCHEMA, TRENDING_SCHEMA, WEEKLY, WEEKLY_SERIES, BarSpec, overview_types, series_schema
+from strata.spec import AS_OF_STATS, BAR_FIELDS, DAILY, DAILY_SERIES, ITEMS_SCHEMA, OVERVIEW_DEFAULTS, OVERVIEW_NAMES, OVERVIEW_SCHEMA, PRICES, STATE_SCHEMA, TRENDING_SCHEMA, WEEKLY, WEEKLY_SERIES, BarSpec, overview_types, series_schema
 from strata.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +164,14 @@ def sink_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return csv_round_trip(spark, d)
 
 
+@query
+def scan_overview_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Silver overview written in both formats, and its CSV read."""
+    rows, path = latest_overview(spark, d), sinks.scratch(spark)
+    sinks.write_dual(rows, path)
+    return readers.read_csv(spark, f"{path}/format=csv", rows.schema)
+
+
 @query
 def read_or_empty(spark: SparkSession, d: str) -> DataFrame:
     """Bars, with a history that isn't there yet."""
@@ -182,17 +190,35 @@ def scan_run_partition(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("extra", F.lit(1))
-    return readers.schema_drift(docs, T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars string, url string"))
+    """Two columns of other types: of one all values can be read as the expected type, of the other those of even ids."""
+    docs = table(spark, d, "documents").select("*", F.lit(1).alias("extra"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("none").alias("parent"))
+    return readers.schema_drift(docs, T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars string, parent bigint, url string"), count=True)
 
 
 @query
 def guard_error_payload(spark: SparkSession, d: str) -> DataFrame:
-    """Every twentieth document, and some more, are error messages."""
+    """Landed documents, read back: every twentieth, and some more, are error messages."""
+    path = sinks.scratch(spark)
+    sinks.land(raw_documents(spark, d), path, "search", "2001-08-02")
+    data, errors = readers.split_error_payloads(readers.read_landed(spark, path))
+    return data.select("key", F.lit(None).cast("string").alias("error")).unionAll(errors.select("key", "error"))
+
+
+def raw_documents(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     value = F.when(i % 20 == 0, F.lit('{"Note": "rate limit"}')).when(i % 30 == 1, F.lit('{"Error Message": "bad symbol"}')).otherwise(F.to_json(F.struct("doc_id", "lang")))
-    data, errors = readers.split_error_payloads(table(spark, d, "documents").select(i.cast("string").alias("key"), value.alias("value")))
-    return data.select("key", F.lit(None).cast("string").alias("error")).unionAll(errors.select("key", "error"))
+    return table(spark, d, "documents").select(i.cast("string").alias("key"), value.alias("value"))
+
+
+@query
+def guard_raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents as a file each, as a web client leaves them; errors are counted and the rest is parsed."""
+    path = sinks.scratch(spark)
+    raw_documents(spark, d).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    data, errors = readers.split_error_payloads(readers.read_documents(spark, path, "*.txt"))
+    parsed = readers.parse_documents(data, T.StructType.fromDDL("doc_id bigint, lang string"))
+    rows = parsed.select(F.col("lang").alias("kind")).unionAll(errors.select(F.col("error").alias("kind")))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -219,15 +245,18 @@ def sink_dual_format(spark: SparkSession, d: str) -> DataFrame:
 @query
 def land_bronze(spark: SparkSession, d: str) -> DataFrame:
     path, docs = sinks.scratch(spark), table(spark, d, "documents")
-    sinks.land(docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), "lang"), path, F.col("lang"), "2001-08-02")
+    for _ in range(2):  # a run that is repeated lands nothing twice
+        sinks.land(docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), "lang"), path, F.col("lang"), "2001-08-02")
     return readers.read_landed(spark, path).select("dataset", "key", F.length("value").cast("long").alias("n"))
 
 
 @query
 def sink_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    path = sinks.scratch(spark)
-    sinks.write_quarantine(quality.split(tagged(spark, d))[1], path)
-    return spark.read.parquet(path).select("validation_reason", "row_id", "src")
+    """Two batches, the second of them twice: a batch that runs again replaces its own rows."""
+    path, rejected = sinks.scratch(spark), stored(spark, quality.split(tagged(spark, d))[1])
+    for batch, rows in (("b1", rejected.where("src = 0")), ("b2", rejected), ("b2", rejected.where("src = 1"))):
+        sinks.write_quarantine(rows, path, batch)
+    return spark.read.parquet(path).select("batch_id", "validation_reason", "row_id", "src")
 
 
 # Projections and filters
@@ -288,7 +317,8 @@ def normalize_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stamp_run(spark: SparkSession, d: str) -> DataFrame:
-    return clean.stamp(table(spark, d, "nation").select("n_nationkey", "n_name"), RUN_TS)
+    """The instant, and what it is called where the runs are read."""
+    return clean.stamp(table(spark, d, "orders").select("o_orderkey"), RUN_TS, zone="Asia/Kolkata")
 
 
 @query
@@ -394,17 +424,14 @@ def run_tally(spark: SparkSession, d: str) -> DataFrame:
     return incremental.run_tally(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "FAILED").otherwise("SUCCESS").alias("status")))
 
 
-STATS = ["thirty_day_avg_open", "thirty_day_avg_close", "fifty_two_week_high", "fifty_two_week_low", "all_time_high", "all_time_low"]
-
-
 @query
 def bars_with_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.as_of_stats(bars(spark, d), ["symbol"], "day_date", AS_OF).select("symbol", "day_date", *STATS)
+    return stats.as_of_stats(bars(spark, d), ["symbol"], "day_date", AS_OF).select("symbol", "day_date", *AS_OF_STATS)
 
 
 @query
 def bars_with_stats_agg(spark: SparkSession, d: str) -> DataFrame:
-    return stats.as_of_stats(bars(spark, d), ["symbol"], "day_date", AS_OF, "agg").select("symbol", "day_date", *STATS)
+    return stats.as_of_stats(bars(spark, d), ["symbol"], "day_date", AS_OF, "agg").select("symbol", "day_date", *AS_OF_STATS)
 
 
 @query
@@ -431,7 +458,7 @@ def gold_join(spark: SparkSession, d: str) -> DataFrame:
 def incremental_stats(spark: SparkSession, d: str) -> DataFrame:
     late = F.col("day_date") > F.lit(CUT).cast("date")
     rows = bars(spark, d)
-    return stats.history_stats(rows.where(~late), rows.where(late), ["symbol"], "day_date", AS_OF).select("symbol", "day_date", *STATS)
+    return stats.history_stats(rows.where(~late), rows.where(late), ["symbol"], "day_date", AS_OF).select("symbol", "day_date", *AS_OF_STATS)
 
 
 @query
@@ -497,15 +524,24 @@ def state_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def incremental_load(spark: SparkSession, d: str) -> DataFrame:
-    """Two loads, split by date, then a third of rows already loaded: silver of the whole, statistics as of the end."""
+    """Two loads, split by date, then a third of rows already loaded: silver as it stands."""
     run = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF)
     rows = stored(spark, dup(spark, d))
     early = F.col("day_date") <= CUT
     for n, part in enumerate((rows.where(early), rows.where(~early | early.isNull()), rows), 1):
         run.batch_id = f"batch-{n}"
         run.daily(part, order=("row_id", "src"))
-    loaded = spark.read.parquet(f"{run.root}/silver/daily").select(*[c for c in DAILY.columns if c not in STATS])
-    return stats.as_of_stats(loaded, ["symbol"], "day_date", AS_OF).select(*DAILY.columns)
+    return run.silver()
+
+
+@query
+def skip_empty_load(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a load and of one more of the same rows, of which none is past its mark."""
+    run, rows = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF), stored(spark, dup(spark, d))
+    for n in (1, 2):
+        run.batch_id = f"batch-{n}"
+        run.daily(rows, order=("row_id", "src"))
+    return spark.read.parquet(f"{run.root}/run_log").drop("dataset", "run")
 
 
 @query
@@ -539,12 +575,15 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_silver(spark: SparkSession, d: str) -> DataFrame:
-    """The batch transform over files as a stream; as-of statistics are of what is stored, so they are added after."""
-    path = sinks.scratch(spark)
-    rows = sinks.write_parquet(dup(spark, d), f"{path}/in")
-    source = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    streams.stream_apply(source, lambda df: pl.silver_rows(pl.typed_bars(df), DAILY, ["row_id", "src"], RUN_TS), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint")
-    return stats.as_of_stats(spark.read.parquet(f"{path}/out").drop("batch"), ["symbol"], "day_date", AS_OF).select(*DAILY.columns)
+    """The batch transform over files as a stream, a file a micro-batch. One row per key and as-of statistics hold over all of
+    them, so both are for the reader."""
+    path, order = sinks.scratch(spark), ["row_id", "src"]
+    rows = dup(spark, d)
+    rows.repartition(3, "row_id").write.parquet(f"{path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.stream_apply(source, lambda df: pl.silver_rows(pl.typed_bars(df), DAILY, order, RUN_TS), streams.by_batch(f"{path}/out"), f"{path}/checkpoint")
+    one = dedupe.keep_one(spark.read.parquet(f"{path}/out"), ["symbol", "day_date"], [F.col(c) for c in order])
+    return stats.as_of_stats(one, ["symbol"], "day_date", AS_OF).select(*DAILY.columns)
 
 
 def ticks(df: DataFrame) -> DataFrame:
@@ -559,26 +598,34 @@ def tick_bars(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    path, events = sinks.scratch(spark), table(spark, d, "events")
-    source = spark.readStream.schema(events.schema).parquet(stream_input(spark, events, path))
-    streams.stream_apply(ticks(source), lambda df: df, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/checkpoint", "complete")
-    return spark.read.parquet(f"{path}/out")
+    """Slices of events in order of time, a run each. A run writes the bars that it changes; bars past the watermark leave the
+    state."""
+    path = sinks.scratch(spark)
+    in_slices(spark, table(spark, d, "events"), path, lambda source: streams.stream_apply(ticks(source), lambda df: df, streams.by_batch(f"{path}/out"), f"{path}/checkpoint", "update"))
+    return streams.newest(spark.read.parquet(f"{path}/out"), ["symbol", "bar_start"])
 
 
-def stream_input(spark: SparkSession, df: DataFrame, path: str) -> str:
-    """A folder of files, as a stream source needs."""
-    df.write.parquet(f"{path}/in")
-    return f"{path}/in"
+def in_slices(spark: SparkSession, df: DataFrame, path: str, run: Callable[[DataFrame], None], n: int = 3) -> None:
+    """df (with a column ts) comes in n slices that follow each other in time, as live events do; after each, the stream runs."""
+    low, high = df.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * i / n for i in range(1, n)] if low else []
+    part = sum((F.when(F.col("ts") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))  # a null time counts as early
+    for i in range(n):
+        df.where(part == i).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
 
 
 @query
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Every third event comes twice."""
+    """Every third event comes twice, a quarter of a day apart: within the lateness, after which its key is forgotten."""
     path, events = sinks.scratch(spark), table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
-    twice = events.unionAll(events.where("event_id % 3 = 0"))
-    source = spark.readStream.schema(twice.schema).parquet(stream_input(spark, twice, path))
-    once = streams.dedupe_within(source, ["event_id"], "ts", "3650 days").select("event_id", "event_type", "user_id")
-    once.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    later = events.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("interval 6 hours"))
+
+    def run(source: DataFrame) -> None:
+        once = streams.dedupe_within(source, ["event_id"], "ts", "2 days").select("event_id", "event_type", "user_id")
+        once.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    in_slices(spark, events.unionAll(later), path, run)
     return spark.read.parquet(f"{path}/out")
 
 
@@ -624,9 +671,12 @@ def silver_trending(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def medallion_run(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze to gold: bars and overview loaded, the overview a second time without change, gold over all."""
+    """Bronze to gold: bars in two loads, the second again under its own name, the overview twice without change; gold over all."""
     run = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF)
-    run.daily(dup(spark, d), order=("row_id", "src"))
+    rows, early = stored(spark, dup(spark, d)), F.col("day_date") <= CUT
+    for batch, part in (("batch-1", rows.where(early)), ("batch-2", rows.where(~early | early.isNull())), ("batch-2", rows.where(~early | early.isNull()))):
+        run.batch_id = batch
+        run.daily(part, order=("row_id", "src"))
     snap = dedupe.latest(fixture(spark, d, fx.OVERVIEW_SNAP), ["Symbol"], ["LatestQuarter", "snapshot_id"])
     records = snap.select(*(F.col(f"`{n}`") if n in snap.columns else F.lit(None).cast("string").alias(n) for n in OVERVIEW_NAMES))
     for n in (1, 2):

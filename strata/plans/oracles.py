@@ -102,14 +102,15 @@ ORACLE = {
     "scan_csv_typed": "select cast(doc_id as varchar) video_id, lang channel_title, n_chars views, source tags, false comments_disabled from documents",
     "scan_csv_modes": "select 'DROPMALFORMED' read_mode, count(*) good, cast(0 as bigint) corrupt from documents where doc_id % 10 <> 0 union all select 'PERMISSIVE', count(*) filter (doc_id % 10 <> 0), count(*) filter (doc_id % 10 = 0) from documents",
     "scan_silver_parquet": q(f"select symbol, day_date, close from bars where day_date > {CUT}", "bars"),
-    "scan_silver_csv": q("select * from silver", *SILVER),
+    "scan_silver_csv": q("select * from silver", *SILVER), "scan_overview_csv": q("select * from last_over", *OVER, "last_over"),
     "read_or_empty": q("select symbol, cast(count(*) as bigint) n from bars group by 1", "bars"),
     "scan_run_partition": "select o_orderkey, o_totalprice from orders where year(o_orderdate) = 2000 and month(o_orderdate) = 3",
+    "guard_raw_files": "select case when doc_id % 20 = 0 then 'rate limit' when doc_id % 30 = 1 then 'bad symbol' else lang end kind, count(*) n from documents group by 1",
     "guard_error_payload": "select cast(doc_id as varchar) as key, case when doc_id % 20 = 0 then 'rate limit' when doc_id % 30 = 1 then 'bad symbol' end error from documents",
     "sink_parquet_roundtrip": q("select * from silver", *SILVER), "sink_csv_roundtrip": q("select * from silver", *SILVER),
     "sink_dual_format": q("select f.format, symbol, count(*) n, sum(volume)::bigint volume from silver, (select unnest(['csv', 'parquet']) as format) f group by 1, 2", *SILVER),
     "land_bronze": "select lang as dataset, cast(doc_id as varchar) as key, length(text) n from documents",
-    "sink_quarantine": q("select validation_reason, row_id, src from tagged where validation_reason is not null", *TAGGED),
+    "sink_quarantine": q("select case src when 0 then 'b1' else 'b2' end batch_id, validation_reason, row_id, src from tagged where validation_reason is not null", *TAGGED),
     "project_nested": q("select symbol, '2001-08-01' last_refreshed, count(*) n_days from bars group by 1", "bars"),
     "flatten_items": VIDEO, "explode_items": "select lang, cast(doc_id as varchar) video_id, source channel_id from documents",
     "explode_map_series": q(f"select symbol, strftime(day_date, '%Y-%m-%d') day_date, cast(volume as varchar) volume from bars where day_date > {CUT}", "bars"),
@@ -118,7 +119,7 @@ ORACLE = {
     "filter_valid": q(f"select {TYPED_COLS} from tagged where validation_reason is null", *TAGGED),
     "filter_after_watermark": q(f"select symbol, day_date, close from bars where day_date > case symbol when '1-URGENT' then date '2001-01-01' when '2-HIGH' then date '1999-06-30' when '3-MEDIUM' then date '2001-07-20' when '4-NOT SPECIFIED' then date '1995-01-01' else date '1900-01-01' end", "bars"),
     "normalize_nulls": q(f"select row_id, {nt('symbol')} symbol, {nt('open')} open, {nt('volume')} volume, {nt('last_refreshed')} last_refreshed from dirty", "dirty"),
-    "stamp_run": f"select n_nationkey, n_name, {STAMPED} from nation",
+    "stamp_run": f"select o_orderkey, {STAMPED}, timestamp '2001-08-02 05:30:00' processed_local from orders",
     "trim_upper": q("select row_id, upper(trim(symbol)) symbol, trim(day_date) day_date from dirty", "dirty"),
     "cast_typed": q("select row_id, try_cast(open as double) open, try_cast(volume as bigint) volume, try_cast(volume as int) volume_int, cast(row_id as varchar) id_text from dirty", "dirty"),
     "cast_dates": q(f"select row_id, {day('day_date')} day_date, {day('last_refreshed')} last_refreshed from dirty", "dirty"),
@@ -129,7 +130,8 @@ ORACLE = {
     "quarantine_rows": q(f"select {TYPED_COLS}, validation_reason from tagged where validation_reason is not null", *TAGGED),
     "dq_counts": q("select count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid from tagged", *TAGGED),
     "dq_by_reason": q("select validation_reason, count(*) n, cast(round(cast(count(*) * 100 as decimal(28,8)) / (select count(*) from tagged), 2) as double) share from tagged where validation_reason is not null group by 1", *TAGGED),
-    "schema_drift": "select * from (values ('extra', null, 'int', 'unexpected'), ('n_chars', 'string', 'bigint', 'type'), ('url', 'string', null, 'missing')) t(\"column\", expected, \"found\", drift) where exists (select 1 from documents)",
+    "schema_drift": "select * from (values ('extra', null, 'int', 'unexpected', null), ('n_chars', 'string', 'bigint', 'type', 0), ('parent', 'bigint', 'string', 'type', (select count(*) from documents where doc_id % 2 <> 0)), "
+    "('url', 'string', null, 'missing', null)) t(\"column\", expected, \"found\", drift, n_unreadable)",
     "dup_report": q("select symbol, day_date, count(*) n from typed group by 1, 2 having count(*) > 1", *TYPED),
     "dedupe_keys": q(f"select {TYPED_COLS} from one", *TAGGED, "one"),
     "latest_per_key": q("select * from last_over", *OVER, "last_over"),
@@ -155,7 +157,9 @@ ORACLE = {
     "content_hash": q("select content_hash from c", "bars").replace(" select content_hash", f", {CONTENT} select content_hash"),
     "hash_changed": q("select content_hash, content_hash previous_hash, false changed from c", "bars").replace(" select content_hash,", f", {CONTENT} select content_hash,"),
     "snapshot_diff": f"select coalesce(o.c_custkey, n.c_custkey) c_custkey, {CUSTOMER_HASH} change from (select c_custkey, c_name, c_mktsegment from customer where c_custkey % 7 <> 0) o full join (select c_custkey, c_name, case when c_custkey % 5 = 0 then null else c_mktsegment end c_mktsegment from customer where c_custkey % 11 <> 0) n on o.c_custkey = n.c_custkey",
-    "run_metrics": q("select 'batch-1' batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, (select count(*) from one) n_written from tagged", *TAGGED, "one"),
+    "run_metrics": q("select 'batch-1' batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, (select count(*) from one) n_written, cast(null as date) old_mark, (select max(day_date) from one) new_mark, false skipped from tagged", *TAGGED, "one"),
+    "skip_empty_load": q("select 'batch-' || b batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, case b when 1 then (select count(*) from one) else 0 end n_written, "
+    "case b when 2 then (select max(day_date) from one) end old_mark, (select max(day_date) from one) new_mark, b = 2 skipped from tagged, (select unnest([1, 2]) b) group by b", *TAGGED, "one"),
     "stream_silver": q("select * from silver", *SILVER), "tick_bars": TICKS, "stream_bars": TICKS,
     "stream_dedupe": "select event_id, event_type, user_id from events",
     "silver_weekly": q(f"select symbol, week_date, {', '.join(f'{rnd(p)} {p}' for p in PRICES)}, volume, {CHANGE.format(p='weekly')}, {MOVE}, {calendar('week_date', 'year', 'month', 'week_number')}, date '2001-08-01' last_refreshed_date, 'VALID' validation_status, cast(null as varchar) validation_reason, {STAMP} from weekly_bars", "weekly_bars"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import clean, dedupe, enrich, gold, incremental, quality, reshape, stats
 from strata.sources import readers, sinks
-from strata.spec import BAR_FIELDS, DAILY, GOLD_BARS, OVERVIEW_DEFAULTS, OVERVIEW_NAMES, PRICES, STATE_SCHEMA, BarSpec, overview_types
+from strata.spec import AS_OF_STATS, BAR_FIELDS, DAILY, GOLD_BARS, OVERVIEW_DEFAULTS, OVERVIEW_NAMES, PRICES, STATE_SCHEMA, BarSpec, overview_types
 
 
 def typed_bars(bars: DataFrame, spec: BarSpec = DAILY) -> DataFrame:
@@ -69,6 +69,11 @@ def silver_trending(rows: DataFrame) -> DataFrame:
     return rows.select(*TRENDING_SCHEMA.names).where("video_id is not null and title is not null")
 
 
+#: What a load stores of a bar: its silver columns without as-of statistics.
+STORED = [c for c in DAILY.columns if c not in AS_OF_STATS]
+METRICS = "batch_id string, n_rows long, n_valid long, n_invalid long, n_written long, old_mark date, new_mark date, skipped boolean"
+
+
 @dataclass
 class Run:
     """Where a lake lies and what a run is called."""
@@ -78,7 +83,7 @@ class Run:
     batch_id: str
     run_ts: str
     as_of: str
-    pipeline: str = "stock_pipeline"
+    pipeline: str = "bars"
 
     @property
     def state(self) -> DataFrame:
@@ -89,30 +94,37 @@ class Run:
         rows.write.mode("append").parquet(f"{self.root}/state")
 
     def daily(self, bars: DataFrame, lateness: int = 0, order: tuple[str, ...] = ("row_id",)) -> DataFrame:
-        """Loads the bars past each symbol's mark and returns the run's metrics, one row.
+        """Loads the bars past each symbol's mark and returns the run's metrics, one row, which are also logged.
 
-        Statistics are over history and increment. The silver part of the run is written, then the state is appended: a
-        crash between the two makes the next run load the same rows under the same keys.
+        Without such bars nothing is written but the tagged rows, the quarantine and the log. The silver part of the run is
+        written, then the state is appended: a crash between the two makes the next run load the same rows under the same
+        keys, and a run that is repeated under its batch_id replaces its files. Stored rows have no as-of statistics, which
+        later loads would make stale: silver adds them to all rows.
         """
-        silver_path = f"{self.root}/silver/daily"
         marks = incremental.latest_state(self.state).where(F.col("dataset_name") == DAILY.name).select(F.col("watermark_key").alias("symbol"), F.col("watermark_value").cast("date").alias("mark"))
-        tagged = typed_bars(bars)
-        tagged, seen = quality.observed_counts(tagged, f"bars-{self.batch_id}")
+        tagged, seen = quality.observed_counts(typed_bars(bars), f"bars-{self.batch_id}")
         tagged = sinks.write_parquet(tagged, f"{self.root}/tagged/batch_id={self.batch_id}")
         valid, rejected = quality.split(tagged)
-        sinks.write_quarantine(rejected.withColumn("batch_id", F.lit(self.batch_id)), f"{self.root}/quarantine/daily")
-        fresh = silver_rows(incremental.after_mark(valid, marks, ["symbol"], "day_date", lateness), DAILY, list(order), self.run_ts)
-        columns = [c for c in DAILY.columns if c in fresh.columns]
-        schema = fresh.select(*columns).schema
-        history = readers.read_or_empty(self.spark, lambda: self.spark.read.parquet(silver_path).select(*columns), schema)
-        touched = history.join(fresh.select("symbol").distinct(), "symbol", "left_semi").select(*columns)
-        history = dedupe.latest(touched, ["symbol", "day_date"], ["processed_at"])
-        done = stats.history_stats(history, fresh.select(*columns), ["symbol"], "day_date", self.as_of).select(*DAILY.columns).withColumn("batch_id", F.lit(self.batch_id))
-        wrote = sinks.write_parquet(done, silver_path, ("batch_id",), ("symbol", "day_date")).where(F.col("batch_id") == self.batch_id)
-        new = incremental.new_marks(wrote, ["symbol"], "day_date")
-        self.append_state(incremental.state_rows(new, self.pipeline, DAILY.name, "day_date", "symbol", self.batch_id, self.run_ts, "bronze to silver"))
+        sinks.write_quarantine(rejected, f"{self.root}/quarantine/daily", self.batch_id)
+        late = incremental.after_mark(valid, marks, ["symbol"], "day_date", lateness)
+        old, new, n = marks.agg(F.max("mark")).first()[0], None, 0
+        if not incremental.is_empty(late):
+            fresh = silver_rows(late, DAILY, list(order), self.run_ts)
+            wrote = sinks.write_parquet(fresh.select(*STORED), f"{self.root}/silver/daily/batch_id={self.batch_id}", sort=("symbol", "day_date"))
+            by_symbol = incremental.new_marks(wrote, ["symbol"], "day_date")
+            self.append_state(incremental.state_rows(by_symbol, self.pipeline, DAILY.name, "day_date", "symbol", self.batch_id, self.run_ts, "bronze to silver"))
+            n, new = wrote.agg(F.count("*"), F.max("day_date")).first()
         counts = seen.get
-        return wrote.agg(F.count("*").alias("n_written")).select(F.lit(self.batch_id).alias("batch_id"), *(F.lit(counts[k]).cast("long").alias(k) for k in ("n_rows", "n_valid", "n_invalid")), "n_written")
+        row = (self.batch_id, *(counts[k] for k in ("n_rows", "n_valid", "n_invalid")), n, old, new or old, n == 0)
+        metrics = self.spark.createDataFrame([row], METRICS)
+        metrics.write.mode("overwrite").parquet(f"{self.root}/run_log/dataset={DAILY.name}/run={self.batch_id}")
+        return metrics
+
+    def silver(self) -> DataFrame:
+        """Silver bars as they stand: the newest row of each symbol and date, with statistics over all of them."""
+        rows = readers.read_parquet(self.spark, f"{self.root}/silver/daily").drop("batch_id")
+        one = dedupe.latest(rows, ["symbol", "day_date"], ["processed_at"])
+        return stats.as_of_stats(one, ["symbol"], "day_date", self.as_of).select(*DAILY.columns)
 
     def overview(self, records: DataFrame) -> DataFrame:
         """Writes the overview if its content changed and returns one row: content_hash, previous_hash, changed."""
@@ -127,7 +139,7 @@ class Run:
         return self.spark.createDataFrame([tuple(verdict)], "content_hash string, previous_hash string, changed boolean")
 
     def gold(self) -> DataFrame:
-        """Gold over all of silver: the newest row of each symbol and date, with the overview."""
-        bars = dedupe.latest(self.spark.read.parquet(f"{self.root}/silver/daily").drop("batch_id"), ["symbol", "day_date"], ["processed_at"])
+        """Gold over all of silver, with the overview, which is broadcast if it has few rows."""
         overview = self.spark.read.parquet(f"{self.root}/silver/overview/format=parquet")
-        return sinks.write_dual(gold_dataset(bars, overview), f"{self.root}/gold")
+        small = overview.limit(gold.BROADCAST_ROWS + 1).count() <= gold.BROADCAST_ROWS
+        return sinks.write_dual(gold_dataset(self.silver(), overview, small), f"{self.root}/gold")

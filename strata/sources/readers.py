@@ -20,16 +20,17 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, glob: str |
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", corrupt: bool = False, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", corrupt: bool = False, multi_line: bool = False, **options) -> DataFrame:
     """CSV with a header. mode: PERMISSIVE, DROPMALFORMED or FAILFAST; corrupt adds the text of malformed rows (write the result
     before asking for that text alone: Spark doesn't parse rows for it only).
 
-    Text fields are quoted when written, so that null (nothing) and the empty string ("") differ.
+    Text fields are quoted when written, so that null (nothing) and the empty string ("") differ. multi_line: fields may hold
+    newlines; such a file can't be split, so it is one task's.
     """
     if corrupt:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options = {"columnNameOfCorruptRecord": CORRUPT, **options}
-    defaults = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\\N", "emptyValue": "", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    defaults = {"header": True, "multiLine": multi_line, "escape": '"', "nullValue": "\\N", "emptyValue": "", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     return spark.read.schema(schema).options(**(defaults | {"mode": mode} | options)).csv(path)
 
 
@@ -75,11 +76,20 @@ def parse_documents(documents: DataFrame, schema: T.StructType) -> DataFrame:
     return documents.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
-def schema_drift(df: DataFrame, spec: T.StructType) -> DataFrame:
-    """column, expected, found, drift (missing, unexpected, type) for each column that differs from the spec."""
+def schema_drift(df: DataFrame, spec: T.StructType, count: bool = False) -> DataFrame:
+    """column, expected, found, drift (missing, unexpected, type) for each column that differs from the spec.
+
+    count: also n_unreadable, how many values of a column of another type can't be read as the expected one (else null).
+    """
     want, have = ({f.name: f.dataType.simpleString() for f in s} for s in (spec, df.schema))
     rows = [(n, want.get(n), have.get(n), "missing" if n not in have else "unexpected" if n not in want else "type") for n in sorted({*want, *have}) if want.get(n) != have.get(n)]
-    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string, drift string")
+    drift = df.sparkSession.createDataFrame(rows, "column string, expected string, found string, drift string")
+    if not count:
+        return drift
+    other = [(n, t) for n, t, _, kind in rows if kind == "type"]
+    bad = df.agg(*(F.count_if(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast(t).isNull()).alias(f"n{i}") for i, (n, t) in enumerate(other)), F.count("*").alias("n_rows"))
+    long = bad.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("n_unreadable")) for i, (n, _) in enumerate(other)))).alias("x")).select("x.*") if other else drift.select("column", F.lit(0).cast("long").alias("n_unreadable")).limit(0)
+    return drift.join(F.broadcast(long), "column", "left")
 
 
 def read_run(spark: SparkSession, path: str, **run: int | str) -> DataFrame:

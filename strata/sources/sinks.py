@@ -13,19 +13,24 @@ CSV = {"header": True, "escape": '"', "nullValue": "\\N", "emptyValue": '""', "t
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared spark.checkpoint.dir, or under /tmp where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder name under the shared spark.checkpoint.dir; under /tmp only in local mode where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/strata-{uuid.uuid4().hex}"
 
 
 def write_parquet(df: DataFrame, path: str, partitions: tuple[str, ...] = (), sort: tuple[str, ...] = (), mode: str = "overwrite") -> DataFrame:
     """Writes df once and returns it as read back. With partitions, overwriting replaces only those that df has.
 
-    Rows of a partition value are brought together first, so that each makes few files; sort orders rows inside files.
+    Rows of a partition value are brought together first, so that each makes few files; a value with very many rows is split
+    by size again (adaptive execution), so no task writes it alone. sort orders rows inside files.
     """
     schema = df.schema
     if partitions:
-        df = df.repartition(*partitions)
+        df = df.hint("rebalance", *(F.col(f"`{p}`") for p in partitions))
     if sort:
         df = df.sortWithinPartitions(*sort)
     writer = df.write.mode(mode)
@@ -45,19 +50,20 @@ def write_dual(df: DataFrame, path: str, partitions: tuple[str, ...] = (), sort:
     return back
 
 
-def write_quarantine(df: DataFrame, path: str) -> None:
-    """Rejected rows, by reason; earlier runs' stay."""
-    df.write.mode("append").partitionBy("validation_reason").parquet(path)
+def write_quarantine(df: DataFrame, path: str, batch_id: str) -> None:
+    """Rejected rows, by batch and reason. Other batches' stay; a batch that runs again replaces its own."""
+    df.drop("batch_id").write.mode("overwrite").partitionBy("validation_reason").parquet(f"{path}/batch_id={batch_id}")
 
 
 def land(documents: DataFrame, path: str, dataset: Column | str, run_date: str) -> None:
-    """Raw documents as they came (key, value), appended under their dataset and run in one write.
+    """Raw documents as they came (key, value), under their dataset and run, in one write. A run that lands a dataset again
+    replaces what it landed; other runs' stay.
 
     dataset: a column of documents, or one name for all. Rows with a null or new name are kept. Folder names can't tell an
     empty name from null, so the name is also in the files (dataset_name); readers.read_landed gives it back.
     """
     name = F.lit(dataset).cast("string")
-    documents.select("key", "value", name.alias("dataset_name"), name.alias("dataset"), F.lit(run_date).alias("run_date")).write.mode("append").partitionBy("dataset", "run_date").parquet(path)
+    documents.select("key", "value", name.alias("dataset_name"), name.alias("dataset"), F.lit(run_date).alias("run_date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_date").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, target: str, rows_per_file: int = 5_000_000) -> None:

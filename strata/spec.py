@@ -73,6 +73,8 @@ TRENDING_SCHEMA = struct(
     comment_count="bigint", thumbnail_link="string", comments_disabled="boolean", ratings_disabled="boolean", video_error_or_removed="boolean", description="string",
 )
 
+# The names of the as-of statistics.
+AS_OF_STATS = ("thirty_day_avg_open", "thirty_day_avg_close", "fifty_two_week_high", "fifty_two_week_low", "all_time_high", "all_time_low")
 PRICES = ("open", "high", "low", "close")
 Rule = tuple[str, Column]
 
@@ -110,10 +112,9 @@ class BarSpec:
     @property
     def columns(self) -> list[str]:
         change = [f"{self.prefix}_change", f"{self.prefix}_change_percentage", "market_movement"]
-        stats = ["thirty_day_avg_open", "thirty_day_avg_close", "fifty_two_week_high", "fifty_two_week_low", "all_time_high", "all_time_low"]
         bar = ["symbol", self.date, *PRICES, "volume", *change]
         audit = ["last_refreshed_date", "validation_status", "validation_reason"]
-        return [*bar, *stats, *audit, *self.calendar, "processed_at"] if self.stats else [*bar, *self.calendar, *audit, "processed_at"]
+        return [*bar, *AS_OF_STATS, *audit, *self.calendar, "processed_at"] if self.stats else [*bar, *self.calendar, *audit, "processed_at"]
 
 
 DAILY = BarSpec("daily", "day_date", "daily", DAILY_SERIES, "day", ("year", "month", "day"), True)

@@ -7,19 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import dedupe
+
 
 def stream_apply(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs the batch transform on each micro-batch of what is new, gives its result to sink(df, batch_id), then ends.
 
-    A batch that fails is given again under the same id: a sink that overwrites what that id wrote writes it once. With
-    mode "complete" every batch is the whole result of an aggregate, for a sink that overwrites.
+    A batch that fails is given again under the same id: a sink that overwrites what that id wrote writes it once. The
+    transform sees one micro-batch, so what holds over all of them (one row per key) is for the reader: see newest. With
+    mode "update" a batch has the changed rows of an aggregate, and its state goes once the watermark has passed.
     """
     query = source.writeStream.outputMode(mode).foreachBatch(lambda df, n: sink(transform(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink: a micro-batch's rows in a folder of its own, which a batch that runs again overwrites."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that by_batch wrote, those of each key's last micro-batch: updates replace what was there."""
+    return dedupe.latest(rows, keys, ["batch"]).drop("batch")
+
+
 def tumbling_bars(ticks: DataFrame, ts: str, key: str, price: str, order: str, width: str = "1 day", lateness: str | None = "1 day") -> DataFrame:
-    """open, high, low, close and volume of each key and window; ticks later than lateness are dropped in append mode.
+    """open, high, low, close and volume of each key and window; ticks later than lateness are dropped in append and update mode.
 
     order: a column that grows with time and is unique, so that first and last are defined. Works on batches too.
     """

@@ -145,18 +145,18 @@ def test_reading_guards(spark, tmp_path):
         readers.read_or_empty(spark, lambda: spark.range(1).select("nothing"), schema)
     (tmp_path / "r.csv").write_text('a,b\n1,"x\ny"\nmany,z\n3,\n')
     full = T.StructType.fromDDL("a int, b string")
-    good, bad = readers.split_corrupt(readers.read_csv(spark, f"{tmp_path}/r.csv", full, corrupt=True).cache())
+    good, bad = readers.split_corrupt(readers.read_csv(spark, f"{tmp_path}/r.csv", full, corrupt=True, multi_line=True).cache())
     assert sorted(r.a for r in good.collect()) == [1, 3] and bad.count() == 1
-    assert readers.read_csv(spark, f"{tmp_path}/r.csv", full, mode="DROPMALFORMED").count() >= 2
+    assert readers.read_csv(spark, f"{tmp_path}/r.csv", full, mode="DROPMALFORMED", multi_line=True).count() >= 2
     with pytest.raises(Exception, match="(?i)malformed"):
-        readers.read_csv(spark, f"{tmp_path}/r.csv", full, mode="FAILFAST").collect()
+        readers.read_csv(spark, f"{tmp_path}/r.csv", full, mode="FAILFAST", multi_line=True).collect()
 
 
 def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
     schema = T.StructType.fromDDL("a string, d double, t date, s timestamp")
     df = spark.createDataFrame([("", 1.1, dt.date(2001, 1, 1), dt.datetime(2001, 1, 1, 5, 6, 7, 123456)), (None, None, None, None), ('q"uo,te\nd\\', 0.1 + 0.2, None, None)], schema)
     sinks.write_csv(df, f"{tmp_path}/c")
-    back = readers.read_csv(spark, f"{tmp_path}/c", schema)
+    back = readers.read_csv(spark, f"{tmp_path}/c", schema, multi_line=True)
     assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
 
 
