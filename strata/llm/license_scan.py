@@ -1,14 +1,17 @@
 """Licence scans with a positional index of rare words.
 
-Licence notices are templates with mandatory key phrases. The index lists where each template word stands in each
-template. A file is looked up by its licence words of the highest IDF (document frequencies are counted over all
-documents): each occurrence of such a word proposes a place for every template in whose postings it is, proposals are
-intersected by relative position, and a template counts only if all its key phrases stand there word for word.
+Licence texts and notices are templates with mandatory key phrases. The index lists where each template word stands in
+each template. A file is looked up, for each template, by the words of highest IDF that it shares with it (document
+frequencies are counted over all documents): each occurrence of such a word and each of its postings propose a place of the
+template in the file. Proposals of several words are intersected by relative position: a place stays if at least half of
+these words propose one within the template's slack of it. There all key phrases must stand, word for word, each within the
+slack of its own place.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -19,8 +22,8 @@ from strata.llm.common import map_rows, texts
 
 # Lower-cases A-Z and turns every byte outside the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F] into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Words by which a key phrase may be moved against the template.
-SLACK = 12
+#: Rare words of a file by which a template is looked up.
+LOOK = 6
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,10 @@ class Template:
     keys: tuple[str, ...]
     base: bool = False
 
+    def slack(self, n_words: int) -> int:
+        """Words by which parts of a template of n_words may be moved against each other: a quarter of it; none in a base phrase."""
+        return 0 if self.base else max(4, n_words // 4)
+
 
 # The phrases of the base rule, and the usual short notices of public licences.
 BASE = (
@@ -55,6 +62,44 @@ NOTICES = (
     Template("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
     Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("to deal in the software without restriction", "the software is provided as is", "arising from out of or in connection with the software"),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("the author disclaims all warranties with regard to this software", "resulting from loss of use data or profits"),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        ("redistributions in binary form must reproduce the above copyright notice", "are disclaimed"),
+    ),
+    Template(
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("to endorse or promote products derived from this software without specific prior written permission",),
+    ),
+    Template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        ("to alter it and redistribute it freely", "the origin of this software must not be misrepresented"),
+    ),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
 )
 
@@ -65,58 +110,79 @@ def split_words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings word -> (template, position), and each key phrase's places in its template."""
+    """Of each template: word -> its positions, and the position of each key phrase."""
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.words = [split_words(t.text) for t in self.templates]
+        self.slack = [t.slack(len(w)) for t, w in zip(self.templates, self.words, strict=True)]
         self.keys = [[tuple(split_words(k)) for k in t.keys] for t in self.templates]
         self.at = [[next(i for i in range(len(w)) if tuple(w[i : i + len(k)]) == k) for k in ks] for w, ks in zip(self.words, self.keys, strict=True)]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, w in enumerate(self.words):
+        self.postings: list[dict[bytes, list[int]]] = []
+        for w in self.words:
+            own: dict[bytes, list[int]] = {}
             for q, x in enumerate(w):
-                self.postings.setdefault(x, []).append((t, q))
-        top = max(self.idf.values(), default=1.0)
-        # a key phrase can only stand where its rarest word does
-        self.rarest = [[max(range(len(k)), key=lambda i, k=k: (self.idf.get(k[i], top), -i)) for k in ks] for ks in self.keys]
+                own.setdefault(x, []).append(q)
+            self.postings.append(own)
+        self.vocabulary = frozenset(x for own in self.postings for x in own)
+        self.by_idf = [sorted(own, key=lambda x: (-self.rarity(x), x)) for own in self.postings]
+        # a key phrase is looked up by its rarest word
+        self.rarest = [[max(range(len(k)), key=lambda i, k=k: (self.rarity(k[i]), -i)) for k in ks] for ks in self.keys]
+        self.needed = [frozenset(x for k in ks for x in k) for ks in self.keys]
         self.look = {k[r] for ks, rs in zip(self.keys, self.rarest, strict=True) for k, r in zip(ks, rs, strict=True)}
 
-    @property
-    def vocabulary(self) -> frozenset[bytes]:
-        return frozenset(self.postings)
+    def rarity(self, word: bytes) -> float:
+        return self.idf.get(word, math.inf)
+
+    def rare(self, t: int, has: set[bytes]) -> list[bytes]:
+        """The words of highest IDF that the file shares with a template; of a base phrase all its words."""
+        shared = [x for x in self.by_idf[t] if x in has]
+        return shared if self.templates[t].base else shared[:LOOK]
+
+    def matches(self, t: int, rare: list[bytes], where: dict[bytes, list[int]], words: list[bytes]) -> list[int]:
+        """Where the first key phrase of a template stands in the file with all else that it needs: its places, in order."""
+        slack = self.slack[t]
+        near = lambda places, o: (i := bisect_left(places, o - slack)) < len(places) and places[i] <= o + slack
+        proposals = [sorted({p - q for p in where[x] for q in self.postings[t][x]}) for x in rare]
+        keys = []
+        for k, r, at in zip(self.keys[t], self.rarest[t], self.at[t], strict=True):
+            keys.append([p - r - at for p in where[k[r]] if p >= r and tuple(words[p - r : p - r + len(k)]) == k])
+        enough = len(rare) if not slack else (len(rare) + 1) // 2
+        return [o + self.at[t][0] for o in keys[0] if sum(near(x, o) for x in proposals) >= enough and all(near(x, o) for x in keys[1:])]
+
+    def share(self, t: int, start: int, words: list[bytes]) -> float:
+        """The share of the template's words that stand in the file in its order, each within the slack of the one before."""
+        at, found, slack = max(0, start - self.slack[t]), 0, self.slack[t]
+        for i, x in enumerate(self.words[t]):
+            stop = at + slack + 1 if found else max(0, start + i) + slack + 1
+            here = next((p for p in range(at, min(stop, len(words))) if words[p] == x), None)
+            if here is not None:
+                at, found = here + 1, found + 1
+        return found / len(self.words[t])
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float, list[tuple[int, int]]]:
         """Places of the base phrases, their labels, all labels, score, and the (template, start) matches."""
         if self.look.isdisjoint(words):
             return [], set(), set(), 0.0, []
         has = self.vocabulary.intersection(words)
-        alive = [t for t, ks in enumerate(self.keys) if all(has.issuperset(k) for k in ks)]
-        rare = {k[r]: None for t in alive for k, r in zip(self.keys[t], self.rarest[t], strict=True)}
-        places: dict[tuple[int, int], list[int]] = {}  # (template, key phrase): its starts in the file
-        wanted = set(alive)
+        alive = {t: self.rare(t, has) for t, needed in enumerate(self.needed) if needed <= has}
+        where: dict[bytes, list[int]] = {x: [] for t, rare in alive.items() for x in (*rare, *(k[r] for k, r in zip(self.keys[t], self.rarest[t], strict=True)))}
         for p, w in enumerate(words):
-            if w in rare:
-                for t, q in self.postings[w]:
-                    if t in wanted:
-                        for j, (k, r, at) in enumerate(zip(self.keys[t], self.rarest[t], self.at[t], strict=True)):
-                            if q == at + r and tuple(words[max(0, p - r) : p - r + len(k)]) == k and p >= r:
-                                places.setdefault((t, j), []).append(p - r)
+            if w in where:
+                where[w].append(p)
         base, base_labels, labels, score, found = [], set(), set(), 0.0, []
-        for t in alive:
-            tpl, own = self.templates[t], self.words[t]
-            if tpl.base:
-                base += places.get((t, 0), [])
-            for start in places.get((t, 0), []):
-                off = start - self.at[t][0]
-                if all(any(abs(s - (off + at)) <= SLACK for s in places.get((t, j), [])) for j, at in enumerate(self.at[t])):
-                    found.append((t, max(0, off)))
-                    labels.add(tpl.label)
-                    if tpl.base:
-                        base_labels.add(tpl.label)
-                    near = Counter(words[max(0, off - SLACK * (len(self.keys[t]) > 1)) : off + len(own) + SLACK * (len(self.keys[t]) > 1)])
-                    score = max(score, sum((Counter(own) & near).values()) / len(own))
+        for t, rare in alive.items():
+            for place in self.matches(t, rare, where, words):
+                start = place - self.at[t][0]
+                found.append((t, max(0, start)))
+                labels.add(self.templates[t].label)
+                if self.templates[t].base:
+                    base.append(place)
+                    base_labels.add(self.templates[t].label)
+                if score < 1:
+                    score = max(score, self.share(t, start, words))
         return sorted(base), base_labels, labels, score, found
 
 
@@ -140,9 +206,9 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
     """doc_id, n_words, base_places (array), base_labels, labels (arrays, sorted), score and matches of every whole text.
 
-    docs: doc_id, text; other columns are ignored. A null or empty text has no words and no labels, score 0; repeated
-    rows give repeated rows; an empty table gives an empty one. score: the largest share of a matched template's words
-    that stand where it matched. matches: array of (label, first word).
+    docs: doc_id, text; other columns are ignored. Whole texts are scanned, however long. A null or empty text has no words
+    and no labels, score 0; repeated rows, also of null id, give repeated rows; an empty table gives an empty one. score: the
+    largest share of a matched template's words that stand in order where it matched. matches: array of (label, first word).
     """
     plain = Index(templates)
     index = Index(templates, document_frequencies(docs, plain.vocabulary))
