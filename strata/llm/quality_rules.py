@@ -19,8 +19,8 @@ SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW = 5
 #: Statistic: the least spread that counts, so that a statistic which is the same for nearly all documents rejects no clean one.
 STATS = {"symbol_share": 0.01, "mark_share": 0.05, "upper_share": 0.06, "dup_line_share": 0.15, "repeat_share": 0.06}
-#: Fence: q75 + FENCE * spread; groups of fewer rows than MIN_ROWS take their language's fence, then that of all rows.
-FENCE, MIN_ROWS, GAMMA, LEAST = 3.0, 100, 1.02, 1e-4
+#: Fence: q75 + FENCE * spread. A group's quantiles are drawn to its language's as by PRIOR rows of that, and these to those of all.
+FENCE, PRIOR, GAMMA, LEAST = 3.0, 100, 1.02, 1e-4
 MARKS = np.array([c < 128 and not chr(c).isalnum() and chr(c) not in " \t\n\x0b\x0c\r" for c in range(256)])
 UPPER = np.array([c < 128 and chr(c).isupper() for c in range(256)])
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long"
@@ -81,29 +81,71 @@ def quantiles(sketches: DataFrame, keys: list[str], wanted: dict[str, float]) ->
     return run.groupBy(*keys, "stat").agg(F.first("n_rows").alias("n_rows"), *(F.min(F.when(F.col("upto") >= q * F.col("n_rows"), edge)).alias(name) for name, q in wanted.items()))
 
 
-def fences(rows: DataFrame, spread: dict[str, float] | None = None, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """key (language and source), lang_key and a map stat -> fence for each pair of language and source in rows."""
+def fences(rows: DataFrame, spread: dict[str, float] | None = None, fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
+    """key (language and source) and a map stat -> fence for each pair of language and source in rows.
+
+    Quantiles of n rows weigh n / (n + prior) against those of the language, and these likewise against those of all rows:
+    thresholds move smoothly with a group's size.
+    """
     spread = spread or STATS
     base = materialise(sketch(rows, ["key", "lang_key"], list(spread)))
     floor = F.element_at(F.create_map(*(F.lit(x) for kv in spread.items() for x in kv)), F.col("stat"))
 
     def at(keys: list[str], name: str) -> DataFrame:
-        q = quantiles(base, keys, {"q25": 0.25, "q75": 0.75})
-        return q.select(*keys, "stat", F.when((F.col("n_rows") >= min_rows) | F.lit(not keys), F.col("q75") + fence * F.greatest(F.col("q75") - F.col("q25"), floor)).alias(name))
+        return quantiles(base, keys, {"q25": 0.25, "q75": 0.75}).select(*keys, "stat", F.struct("n_rows", "q25", "q75").alias(name))
+
+    every = at(["key", "lang_key"], "own").join(at(["lang_key"], "lang"), ["lang_key", "stat"]).join(at([], "all"), "stat")
+
+    def drawn(q: str) -> Column:
+        value = F.col(f"all.{q}")
+        for group in ("lang", "own"):
+            n = F.col(f"{group}.n_rows")
+            value = (n * F.col(f"{group}.{q}") + prior * value) / (n + prior)
+        return value
 
-    every = at(["key", "lang_key"], "own").join(at(["lang_key"], "lang"), ["lang_key", "stat"], "left").join(at([], "all"), "stat", "left")
-    return every.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("stat", F.coalesce("own", "lang", "all").alias("fence")))).alias("fences"))
+    limit = F.col("q75") + fence * F.greatest(F.col("q75") - F.col("q25"), floor)
+    every = every.select("key", "stat", drawn("q25").alias("q25"), drawn("q75").alias("q75")).select("key", F.struct("stat", limit.alias("fence")).alias("x"))
+    return every.groupBy("key").agg(F.map_from_entries(F.collect_list("x")).alias("fences"))
 
 
-def judge(docs: DataFrame, spread: dict[str, float] | None = None, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, spread: dict[str, float] | None = None, fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
     """Each document's counts, base_failed, kept and the statistics that are past their fence (failed, comma-joined).
 
-    docs: doc_id, text, lang, source; other columns are ignored. A null text counts as empty and fails the base rule; a
-    null language or source is a group of its own; repeated rows are judged alike; an empty table gives an empty one.
+    docs: doc_id, text, lang, source; other columns are ignored. Whole texts are counted, however long. A null text counts as
+    empty and fails the base rule; a null language or source is a group of its own; repeated rows, also of null id, each
+    count and are judged alike; an empty table gives an empty one. spread: the statistics that have fences, and the least
+    spread of each: one that is 0 for most documents has no spread of its own.
     """
     spread = spread or STATS
     rows = materialise(measure(docs)).withColumns({**shares(), "key": F.to_json(F.struct("lang", "source")), "lang_key": F.to_json(F.struct("lang"))})
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     past = F.concat_ws(",", *(F.when(F.col(s) > F.col("fences")[s], F.lit(s)) for s in spread))
-    found = joined(rows, materialise(fences(rows, spread, fence, min_rows)), "key", "left").withColumns({"base_failed": base, "failed": past})
+    found = joined(rows, materialise(fences(rows, spread, fence, prior)), "key", "left").withColumns({"base_failed": base, "failed": past})
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~base & (F.col("failed") == "")).alias("kept"), "failed")
+
+
+# DuckDB SQL for judge's rows over `documents`, with the default spread, fence and prior.
+JUDGE_SQL = r"""
+with d as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, len(regexp_extract_all(text, '[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')) n_marks, len(regexp_extract_all(text, '[A-Z]')) n_upper from d),
+p as (select r, i, words[i:i + 4] five from (select r, words, unnest(range(1, greatest(len(words) - 3, 1))) i from w)),
+often as (select r, i from p qualify count(*) over (partition by r, five) > 1),
+hit as (select r, count(distinct i + j)::bigint n from often, (select unnest(range(5)) j) group by 1),
+c as (select r, doc_id, lang, source, len(words)::bigint n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint word_chars, n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words, len(lines) n_lines, n_marks, n_upper from w left join hit using (r)),
+s as (select r, concat(lang is null, '|', lang) lang_key, concat(lang is null, '|', lang, '|', source is null, '|', source) key, unnest([
+        {'stat': 'symbol_share', 'least': 0.01::double, 'x': coalesce(n_symbols::double / nullif(word_chars, 0), 0)}, {'stat': 'mark_share', 'least': 0.05::double, 'x': coalesce(n_marks::double / nullif(word_chars, 0), 0)},
+        {'stat': 'upper_share', 'least': 0.06::double, 'x': coalesce(n_upper::double / nullif(word_chars, 0), 0)}, {'stat': 'dup_line_share', 'least': 0.15::double, 'x': coalesce(n_dup_lines::double / nullif(n_lines, 0), 0)},
+        {'stat': 'repeat_share', 'least': 0.06::double, 'x': coalesce(n_repeat_words::double / nullif(n_words, 0), 0)}], recursive := true) from c),
+b as (select level, case level when 2 then key when 1 then lang_key else '' end as k, stat, case when x < 1e-4::double then 0 else 1 + ceil(ln(x / 1e-4::double) / ln(1.02::double))::int end bin, count(*) n
+      from s, (select unnest([0, 1, 2]) as level) group by all),
+u as (select *, sum(n) over (partition by level, k, stat order by bin) upto, sum(n) over (partition by level, k, stat) total, case bin when 0 then 0 else 1e-4::double * pow(1.02::double, bin - 1) end edge from b),
+q as (select level, k, stat, any_value(total)::double total, min(edge) filter (upto >= 0.25 * total) q25, min(edge) filter (upto >= 0.75 * total) q75 from u group by 1, 2, 3),
+l as (select l.k, l.stat, (l.total * l.q25 + 100 * a.q25) / (l.total + 100) q25, (l.total * l.q75 + 100 * a.q75) / (l.total + 100) q75 from q l join q a on a.stat = l.stat and l.level = 1 and a.level = 0),
+f as (select r, string_agg(s.stat, ',' order by array_position(['symbol_share', 'mark_share', 'upper_share', 'dup_line_share', 'repeat_share'], s.stat)) failed
+      from s join q o on o.level = 2 and o.k = s.key and o.stat = s.stat join l on l.k = s.lang_key and l.stat = s.stat
+      where x > (o.total * o.q75 + 100 * l.q75) / (o.total + 100) + 3.0 * greatest((o.total * (o.q75 - o.q25) + 100 * (l.q75 - l.q25)) / (o.total + 100), least) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed is null as kept, coalesce(failed, '') failed from c left join f using (r)
+"""

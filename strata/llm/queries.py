@@ -60,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality)}
-ORACLE_SQL = {"op6_mix": mixing.MIX_SQL}
+ORACLE_SQL = {"op5_warc": warc.ROUND_TRIP_SQL, "op6_mix": mixing.MIX_SQL, "op8_search": search.TOP_SQL, "op9_quality_rules": quality_rules.JUDGE_SQL}

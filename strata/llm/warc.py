@@ -252,3 +252,13 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least: int =
     if not write_archives(pages, folder, least).limit(1).count():
         return spark.createDataFrame([], RECORDS)
     return read_archives(spark, folder)
+
+
+# DuckDB SQL for the digest of archive_round_trip's rows over `pages`. Base32: each five hexadecimal digits are four letters.
+ROUND_TRIP_SQL = r"""
+with p as (select page_id, coalesce(html, '') html, max(page_id) over (partition by coalesce(html, '')) last from pages),
+h as (select *, sha1(html) hex from p)
+select page_id, strlen(html)::bigint payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') payload_digest,
+       case when page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to from h
+"""

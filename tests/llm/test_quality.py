@@ -48,26 +48,80 @@ def test_rules_on_the_table(spark, data):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.2 * len(bad)
 
 
+def shares_of(text):
+    """The five shares of one text, by themselves."""
+    text = text or ""
+    n_words, chars, symbols, dup, repeated = counts(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    marks = sum(c < "\x80" and not c.isalnum() and c not in " \t\n\x0b\x0c\r" for c in text)
+    upper = sum("A" <= c <= "Z" for c in text)
+    per = lambda a, b: a / b if b else 0.0
+    return {"symbol_share": per(symbols, chars), "mark_share": per(marks, chars), "upper_share": per(upper, chars), "dup_line_share": per(dup, len(lines)), "repeat_share": per(repeated, n_words)}
+
+
+def verdicts(rows, spread, fence, prior):
+    """kept of each of the rows (id, text, lang, source), by sorting all values."""
+    def edge(x):
+        return 0.0 if x < qr.LEAST else qr.LEAST * qr.GAMMA ** math.ceil(math.log(x / qr.LEAST) / math.log(qr.GAMMA))
+
+    shares = [shares_of(r[1]) for r in rows]
+
+    def at(members, stat, p):
+        xs = sorted(edge(shares[i][stat]) for i in members)
+        return xs[math.ceil(p * len(xs)) - 1], len(xs)
+
+    out = []
+    for i, r in enumerate(rows):
+        levels = [[j for j, o in enumerate(rows) if o[2 : 2 + n] == r[2 : 2 + n]] for n in (0, 1, 2)]
+        n = counts(r[1])
+        kept = not (n[0] < 10 or 100 * n[4] > 20 * n[0])
+        for stat, least in spread.items():
+            q = {}
+            for p in (0.25, 0.75):
+                q[p], _ = at(levels[0], stat, p)
+                for members in levels[1:]:
+                    own, m = at(members, stat, p)
+                    q[p] = (m * own + prior * q[p]) / (m + prior)
+            kept = kept and shares[i][stat] <= q[0.75] + fence * max(q[0.75] - q[0.25], least) + 1e-12
+        out.append(kept)
+    return out
+
+
 def test_fences_by_brute_force(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(["word"] * 0 + [f"w{j}{'#' * int(rng.integers(0, 3 if s == 'a' else 1))}" for j in range(int(rng.integers(20, 60)))]), lang, s, 0) for i in range(600) for lang, s in [("en", "a" if i % 3 else "b") if i % 50 else (None, "rare")]]
+    rows = [(i, " ".join(f"w{j}{'#' * int(rng.integers(0, 3 if s == 'a' else 1))}" for j in range(int(rng.integers(20, 60)))), lang, s, 0) for i in range(240) for lang, s in [("en", "a" if i % 3 else "b") if i % 20 else (None, "rare")]]
+    rows += [rows[5], rows[5], (None, "short", None, None, 0), (900, None, "en", None, 0)]  # repeated rows, null source and id
     docs = spark.createDataFrame(rows, DOCS)
-    spread = {"symbol_share": 0.01}
-    out = {r.doc_id: r for r in qr.judge(docs, spread, 1.0, 100).collect()}
-    share = {r[0]: counts(r[1])[2] / counts(r[1])[1] for r in rows}
+    out = sorted((str(r.doc_id), r.kept) for r in qr.judge(docs, {"symbol_share": 0.01}, 1.0, 50).collect())
+    assert out == sorted((str(r[0]), k) for r, k in zip(rows, verdicts(rows, {"symbol_share": 0.01}, 1.0, 50), strict=True))
+    assert len({k for _, k in out}) == 2
+
+
+def test_verdicts_of_the_table_by_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    got = {r.doc_id: r.kept for r in qr.judge(docs).collect()}
+    assert got == dict(zip([r[0] for r in rows], verdicts(rows, qr.STATS, qr.FENCE, qr.PRIOR), strict=True))
+
+
+def test_a_group_does_not_jump_with_its_size(spark):
+    """99 and 101 rows of a group have nearly one fence, though its language's is another."""
+    def limit(n):
+        rows = [(i, "s", 0.0) for i in range(500)] + [(500 + i, "t", 0.02 + 0.0001 * i) for i in range(n)]
+        df = spark.createDataFrame(rows, "i long, key string, x double").selectExpr("key", "'l' lang_key", "x")
+        return qr.fences(df, {"x": 0.001}).where("key = 't'").first().fences["x"]
+
+    assert abs(limit(99) - limit(101)) < 0.02 * limit(100)
 
-    def edge(x):
-        return 0.0 if x < qr.LEAST else qr.LEAST * qr.GAMMA ** math.ceil(math.log(x / qr.LEAST) / math.log(qr.GAMMA))
 
-    def fence(ids):
-        xs = sorted(edge(share[i]) for i in ids)
-        q = lambda p: xs[math.ceil(p * len(xs)) - 1]
-        return q(0.75) + max(q(0.75) - q(0.25), 0.01)
+def test_verdicts_by_sql(spark, data):
+    import duckdb
 
-    for key in ("a", "b", "rare"):
-        own = [r[0] for r in rows if r[3] == key]
-        limit = fence(own) if len(own) >= 100 else fence([r[0] for r in rows])
-        assert [out[i].kept for i in own] == [share[i] <= limit + 1e-12 and not out[i].base_failed for i in own]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    out = qr.judge(spark.read.parquet(f"{data}/documents.parquet"))
+    want = con.sql(f"select {', '.join(out.columns)} from ({qr.JUDGE_SQL})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
 def test_quantiles_within_their_error(spark):

@@ -29,6 +29,18 @@ def test_table(spark, data):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if refers is not None else "response", refers)
 
 
+def test_sql(spark, data):
+    import duckdb
+
+    from strata.llm.queries import op5_warc
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{data}/pages.parquet'")
+    out = op5_warc(spark, data)
+    want = con.sql(f"select {', '.join(out.columns)} from ({warc.ROUND_TRIP_SQL})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_odd_pages(spark, tmp_path):
     html = ["", None, "a", "a", "é" * 50_000, "WARC/1.1\r\n\r\n", "x\r\n\r\ny", "a", "\x1f\x8b\x08"]
     pages = spark.createDataFrame([(i, None if i % 3 == 0 else f"http://e.org/ü?{i}\r\nX: y", h, "x", "y") for i, h in enumerate(html)] + [(None, "u", "a", "x", "y"), (2, "u", "a", "x", "y")], PAGES)
