@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -97,3 +98,59 @@ def test_gaps_are_logged(spark, tmp_path):
     assert sorted(r.page_id for r in out if r.file == "one.warc.gz" and r.problem is None) == [0, 2, 3, 4, 5]
     assert [(r.offset, r.length) for r in out if r.problem] == [(len(members[0]), 40)]
     assert all(sorted(r.page_id for r in out if r.file == f) == list(range(6)) for f in ("whole.warc.gz", "plain.warc"))
+
+
+def many(n=40):
+    return [warc.record(i, "http://e.org", random.Random(i).randbytes(30_000), warc.digest(random.Random(i).randbytes(30_000)), None) for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [1 << 20, 5_000])
+def test_a_shared_member_that_is_damaged(monkeypatch, step):
+    """All records before the damage are kept, and those of later members; the gap is logged once."""
+    monkeypatch.setattr(warc, "STEP", step)
+    records = many()
+    shared, later = bytearray(warc.gzipped(b"".join(records))), warc.gzipped(some()[5])
+    assert pages_of(bytes(shared) + later) == ([*range(40), 5], [])
+    cut = bytes(shared[: len(shared) * 3 // 4])
+    for broken in (cut, cut + later):
+        pages, gaps = pages_of(broken)
+        kept = [i for i in pages if i != 5 or pages.index(i) == 5]
+        assert 28 <= len([*dict.fromkeys(pages)]) <= 30 and kept[:28] == [*range(28)] and len(gaps) == 1
+        assert (pages[-1] == 5) == (broken != cut)
+    shared[len(shared) // 2] ^= 0x10
+    pages, gaps = pages_of(bytes(shared) + later)
+    assert {*range(39)} - {*pages[:-1]} < {18, 19, 20, 21} and pages[-1] == 5 and len(gaps) == 1  # by the records' own digests
+
+
+def test_headers_that_are_folded_and_several_version_lines(monkeypatch):
+    folded = some()[1].replace(b"WARC-Target-URI: http://e.org", b"WARC-Target-URI: http://e.org\r\n  /more\r\n\tstill")
+    found = list(warc.salvage(warc.gzipped(folded)))
+    assert [h["warc-target-uri"] for _, _, h, _, _ in found] == ["http://e.org /more still"]
+    lines = b"WARC/1.0\r\nWARC/1.1\r\nnothing\r\n\r\n"
+    assert pages_of(some()[0] + lines + some()[2]) == ([0, 2], [(len(some()[0]), len(lines))])
+    member = warc.gzipped(lines + some()[3])
+    assert [int(h["x-page-id"]) if h else p for _, _, h, _, p in warc.salvage(member)] == [3, "in a member: a header without a colon"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 20, 10_000])
+def test_noise(n):
+    noise = random.Random(n).randbytes(n)
+    assert pages_of(noise) == ([], [(0, n)] if n else [])
+    assert pages_of(some()[0] + noise)[0] == [0]
+    assert pages_of(warc.gzipped(some()[0]) + noise + warc.gzipped(some()[1]))[0] == [0, 1]
+
+
+def test_records_beyond_the_bound_are_logged():
+    found = list(warc.salvage(b"".join(some()), largest=100))
+    assert {p.split(",")[0][:10] for *_, p in found} == {"a block of"} and all(h is None for _, _, h, _, _ in found)
+
+
+def test_large_payloads_in_several_archives(spark, tmp_path):
+    """Payloads beyond the size of an archive, which the reader streams in small steps; read by pyarrow and by Spark."""
+    html = [random.Random(i).randbytes(400_000).hex() for i in range(6)]
+    pages = spark.createDataFrame([(i, "u", h, "x", "y") for i, h in enumerate(html)], PAGES).coalesce(1)
+    made = warc.write_archives(pages, f"file://{tmp_path}/w x", archive_bytes=300_000)
+    assert made.count() == 6
+    for whole in (False, True):
+        got = warc.read_archives(spark, f"file://{tmp_path}/w x", whole=whole)
+        assert sorted((r.page_id, bytes(r.payload).decode()) for r in got.collect()) == [*enumerate(html)]
