@@ -17,6 +17,8 @@ from strata.llm.common import joined, materialise
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents of a bucket, about: a task's share of a source.
 BUCKET = 2_000
+#: Bins of the logarithm of weights, from LEAST up to 1, by which the spread of a source's keys is told.
+BINS, LEAST = 24, 0.1
 
 
 def size_of(text: Column) -> Column:
@@ -27,7 +29,7 @@ def size_of(text: Column) -> Column:
 def quality_weight(text: Column, size: Column) -> Column:
     """0.1 to 1: nearer to 1 the closer the mean word length is to that of prose (five letters); from lengths alone."""
     mean = F.coalesce(F.try_divide(F.length(text).cast("double"), size), F.lit(0.0))
-    return F.lit(0.1) + F.lit(0.9) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0)
+    return F.lit(LEAST) + F.lit(1 - LEAST) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0)
 
 
 def uniform(doc_id: Column) -> Column:
@@ -35,6 +37,12 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def weight_bins(weight: Column) -> Column:
+    """An array of (p, w): the share of the rows in each bin of weights, and their mean weight."""
+    which = F.least(F.floor(F.log(weight / LEAST) / F.log(F.lit(1 / LEAST)) * BINS), F.lit(BINS - 1))
+    return F.array(*(F.struct((F.count_if(which == i) / F.count("*")).alias("p"), F.coalesce(F.avg(F.when(which == i, weight)), F.lit(0.0)).alias("w")) for i in range(BINS)))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, target: `share` of all sizes is split by weight, weights going round the sources in order of
     code point (null last); a source stops at `epochs` times its size and the others share the excess by weight.
@@ -54,27 +62,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bucket: int = BUCKET) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bucket: int = BUCKET, quality: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole copies), drawn (boolean) and taken of every document.
 
-    docs: doc_id, text, source; other columns are ignored. Null text: size 0; a null source is a source of its own, null
-    ids are alike. Rows of equal id and text are drawn in a row and each counts; an empty table gives an empty one; with
-    no words at all every target is 0. A document is drawn if the prefix sum's rest reaches at least its middle, so a
+    docs: doc_id, text, source; other columns are ignored. quality: a column of docs with a score from 0 to 1 to draw by;
+    by default the words' mean length stands in. Whole texts are measured, however long. Null text: size 0; a null score
+    counts as 0; a null source is a source of its own, null ids are alike. Rows of equal id and text are drawn in a row and
+    each counts; an empty table gives an empty one; with no words at all every target is 0. A document is drawn if the prefix sum's rest reaches at least its middle, so a
     source misses its target by half a document at most.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), quality_weight(F.coalesce("text", F.lit("")), size_of(F.col("text"))).alias("weight"))
-    rows = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / F.col("weight")).alias("key")))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    goal = materialise(targets(per.select("source", "source_size"), weights, share, epochs).withColumnRenamed("source", "src").join(per.select(F.col("source").alias("src2"), "n_rows"), F.expr("src <=> src2")).drop("src2"))
-    small = goal.limit(100_001).count() <= 100_000
-    rows = rows.join(F.broadcast(goal) if small else goal, F.expr("source <=> src"), "left")
-    # 1 - exp(-key) is spread over 0 to 1 and grows with the key: its buckets are of like size and keep the keys' order
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n_rows") / bucket)).cast("long"))
+    weight = quality_weight(F.coalesce("text", F.lit("")), size_of(F.col("text"))) if quality is None else F.lit(LEAST) + F.lit(1 - LEAST) * F.least(F.greatest(F.coalesce(F.col(f"`{quality}`"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), weight.alias("weight"))
+    rows = materialise(sized.select("doc_id", "source", "size", "weight", (-F.log(uniform(F.col("doc_id"))) / F.col("weight")).alias("key")))
+    per = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"), weight_bins(F.col("weight")).alias("bins")))
+    goal = materialise(targets(per.select("source", "source_size"), weights, share, epochs).withColumnRenamed("source", "src").join(per.select(F.col("source").alias("src2"), "n_rows", "bins"), F.expr("src <=> src2")).drop("src2"))
+    rows = joined(rows.drop("weight"), goal, F.expr("source <=> src"), "left")
+    # A key of weight w is below x with probability 1 - exp(-w * x); so this mean over the source's weights grows with the
+    # key and is spread over 0 to 1: its buckets are of like size, whatever the weights, and keep the keys' order.
+    spread = 1 - F.aggregate("bins", F.lit(0.0), lambda so_far, x: so_far + x["p"] * F.exp(-x["w"] * F.col("key")))
+    rows = rows.withColumn("bucket", F.floor(spread * F.ceil(F.col("n_rows") / bucket)).cast("long")).drop("bins")
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(totals.select(F.col("source").alias("src3"), F.col("bucket").alias("bucket3"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")))
-    few = offsets.limit(500_001).count() <= 500_000
-    rows = rows.join(F.broadcast(offsets) if few else offsets, F.expr("source <=> src3 and bucket = bucket3"), "left")
+    rows = joined(rows, offsets, F.expr("source <=> src3 and bucket = bucket3"), "left")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     until = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
@@ -90,9 +100,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     rounded up, so that none is lost. A row of size 0 stays as often as its source has whole epochs.
     """
     copies = mix(docs, **how).groupBy("doc_id").agg(F.ceil(F.avg(F.col("epochs") + F.col("drawn").cast("long"))).cast("int").alias("__copies")).where("__copies > 0")
-    copies = materialise(copies).withColumnRenamed("doc_id", "__doc_id")
-    small = copies.limit(500_001).count() <= 500_000
-    rows = docs.join(F.broadcast(copies) if small else copies, F.expr("doc_id <=> __doc_id"))
+    rows = joined(docs, materialise(copies).withColumnRenamed("doc_id", "__doc_id"), F.expr("doc_id <=> __doc_id"), "inner")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__doc_id", "__copies", "__copy")
 
 

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import joined, map_rows, materialise, small_batches
+from strata.llm.common import joined, map_rows, materialise, small_batches, to_arrow
 
 FEATURES, SEED, RIDGE, FOLDS, BINS = 160, 20240601, 0.5, 4, 2_000
 #: Kernel width in standard deviations of the statistics.
@@ -88,21 +89,24 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By fold: the sums of phi phi' and phi y. Each task sends one fixed-size triangle a batch; Spark adds them."""
+    """By fold: the sums of phi phi' and phi y. Each task adds up its rows and sends one triangle of fixed size a fold."""
     d = FEATURES + 1
     up = np.triu_indices(d)
-
-    def make():
-        def handle(batch):
-            folds, y = np.array(batch["fold"]), np.array(batch["y"])
-            phi = fourier((np.array(batch["stats"]) - mean) / scale)
+    small_batches(rows.sparkSession)
+    schema = to_arrow(rows.sparkSession, "fold int, at int, v double")
+
+    def run(batches):
+        added: dict[int, np.ndarray] = {}
+        for batch in batches:
+            folds, y = batch["fold"].to_numpy(), batch["y"].to_numpy()
+            phi = fourier((np.array(batch["stats"].to_pylist()).reshape(-1, len(mean)) - mean) / scale)
             for f in set(folds.tolist()):
                 p = phi[folds == f]
-                yield from zip([f] * len(up[0]), range(len(up[0])), (p.T @ p)[up].tolist(), strict=True)
-                yield from zip([f] * d, range(-d, 0), (p.T @ y[folds == f]).tolist(), strict=True)
-        return handle
+                added[f] = added.get(f, 0) + np.concatenate([p.T @ y[folds == f], (p.T @ p)[up]])
+        for f, v in added.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), f), pa.int32()), pa.array(np.arange(-d, len(v) - d), pa.int32()), pa.array(v)], schema=schema)
 
-    sums = map_rows(rows, make, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).toPandas()
+    sums = rows.mapInArrow(run, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).toPandas()
     out = {}
     for f, part in sums.groupby("fold"):
         v = part.set_index("at")["v"]
@@ -176,7 +180,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     """docs with quality_score and quality_predicted (1 if the score reaches the threshold, else 0).
 
     docs: doc_id, text; labels: doc_id, quality. Other columns of docs are kept, save two of these names, which are
-    replaced. A null or empty text is scored as empty; null labels aren't learned from; repeated rows score alike.
+    replaced. Whole texts are scored, however long; a null or empty text as empty. Null labels aren't learned from; each
+    label of an id, repeated or conflicting, is learned from with each of the id's rows; repeated rows score alike, and rows
+    of null id are scored too. Without usable labels every score is 0.5; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     model = model or fit(docs, labels)

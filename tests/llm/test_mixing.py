@@ -80,3 +80,17 @@ def test_empty(spark, docs, clashing):
     nothing = mixing.mix(docs([None, "", " "])).collect()
     assert [(r.size, r.target, r.taken) for r in nothing] == [(0, 0.0, 0)] * 3
     assert {r.taken for r in mixing.mix(clashing(["a b"] * 8)).collect()} <= {2, 4}
+
+
+def test_buckets_are_even_whatever_the_weights(spark, monkeypatch):
+    """A source whose weights are nearly all the least one: no bucket of the prefix sums is much larger than wanted."""
+    rows = [(i, "w " * 3, "en", "s", 0, 0.0 if i % 10 else 1.0) for i in range(4000)]
+    table = spark.createDataFrame(rows, DOCS + ", score double")
+    kept = []
+    real = mixing.joined
+    monkeypatch.setattr(mixing, "joined", lambda df, *a: kept.append(df) or real(df, *a))
+    taken = {r.doc_id: r.taken for r in mixing.mix(table, bucket=100, share=0.3, quality="score").collect()}
+    sizes = [r["count"] for r in kept[1].groupBy("bucket").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 160
+    drawn = [sum(taken[i] > 0 for i in range(4000) if (i % 10 == 0) == good) for good in (True, False)]
+    assert drawn[0] > 0.8 * 400 and drawn[1] < 0.4 * 3600  # by quality
