@@ -21,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared spark.checkpoint.dir (under /tmp only where that is unset, as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder name under the shared spark.checkpoint.dir; under /tmp only in local mode where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/strata-{uuid.uuid4().hex}"
 
 

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import joined, map_rows, materialise, texts
-from strata.llm.line_dedup import WordHashes, mixed
+from strata.llm.common import joined, map_rows, materialise, part_of, parted
+from strata.llm.line_dedup import hash_words, mixed
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 20 bands of 4 registers find a pair of similarity 0.8 with probability 1 - 3e-5.
@@ -29,9 +29,9 @@ MASKS = 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit hashes of the five-word shingles, sorted, and their counts. Fewer words are one shingle."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hash_words(words)
     n = max(1, len(words) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
@@ -97,25 +97,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the words, n (shingles) and bands of each document with a word."""
+    """doc_id, part, hash of the words, n (shingles) and bands of each document; without words the last three are null."""
     def make():
-        hashes = WordHashes()
-
         def handle(batch):
-            rows = [(doc, words) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if (words := text.encode("utf-8", "replace").split())]
+            rows = [(doc, part, text.encode("utf-8", "replace").split()) for doc, part, text in zip(batch["doc_id"], batch["part"], batch["text"], strict=True)]
+            yield from ((doc, part, None, None, None) for doc, part, words in rows if not words)
+            rows = [row for row in rows if row[2]]
             while rows:  # about as many words at a time, however long the texts
                 k, size = 0, 0
-                while k < len(rows) and (k == 0 or size + len(rows[k][1]) < 150_000):
-                    size += len(rows[k][1])
+                while k < len(rows) and (k == 0 or size + len(rows[k][2]) < 150_000):
+                    size += len(rows[k][2])
                     k += 1
-                part, rows = rows[:k], rows[k:]
-                bags = [shingles(words, hashes) for _, words in part]
+                some, rows = rows[:k], rows[k:]
+                bags = [shingles(words) for *_, words in some]
                 bands = band_keys(signatures(bags))
-                for (doc, words), (_, counts), own in zip(part, bags, bands, strict=True):
-                    yield doc, xxhash.xxh3_128_digest(b" ".join(words)), int(counts.sum()), own
+                for (doc, part, words), (_, counts), own in zip(some, bags, bands, strict=True):
+                    yield doc, part, xxhash.xxh3_128_digest(b" ".join(words)), int(counts.sum()), own
         return handle
 
-    return map_rows(docs, make, "doc_id long, hash binary, n long, bands array<long>")
+    return map_rows(docs.select("doc_id", "part", "text"), make, "doc_id long, part long, hash binary, n long, bands array<long>")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
@@ -136,11 +136,9 @@ def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     both = with_a.join(candidates.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
-        hashes = WordHashes()
-
         def handle(batch):
             for a, b, *text in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
-                bag_a, bag_b = (shingles(t.encode("utf-8", "replace").split(), hashes) for t in text)
+                bag_a, bag_b = (shingles(t.encode("utf-8", "replace").split()) for t in text)
                 common, lacks = overlap(bag_a, bag_b)
                 mask = np.zeros(MASKS, np.uint64)
                 np.bitwise_or.at(mask, (lacks % np.uint64(MASKS)).astype(np.int64), np.uint64(1) << (lacks >> np.uint64(32)) % np.uint64(64))
@@ -171,11 +169,9 @@ def components(links: DataFrame) -> DataFrame:
 def lone_shingles(candidates: DataFrame) -> DataFrame:
     """node, alone: how many of the node's shingles (with repeats) no other candidate has."""
     def make():
-        hashes = WordHashes()
-
         def handle(batch):
             for node, text in zip(batch["node"], batch["text"], strict=True):
-                keys, counts = shingles(text.encode("utf-8", "replace").split(), hashes)
+                keys, counts = shingles(text.encode("utf-8", "replace").split())
                 yield from zip([node] * len(keys), keys.view(np.int64).tolist(), counts.tolist(), strict=True)
         return handle
 
@@ -184,21 +180,23 @@ def lone_shingles(candidates: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.sum("n").alias("alone"))
 
 
-def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(classes, labels): doc_id -> node, the smallest id with the same words; node -> group for nodes with links.
+def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every, classes, labels): doc_id, part and hash of each row of docs (as of parted); hash, node and first (doc_id and
+    part of the smallest row) of each text, by its words; node and group of nodes with links. Nodes are any numbers.
 
     Pairs that share a band are compared unless an upper bound of their overlap is too small, and these bounds are exact:
     a shingle that no other candidate has is in no overlap; and what two documents lack of the hub that both were
     compared with, they can't have in common.
     """
-    docs = texts(docs).where("doc_id is not null")
     every = materialise(signed(docs))
-    classes = materialise(every.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    buckets = classes.select("node", "n", F.explode("bands").alias("key"))
+    by_text = every.where("hash is not null").groupBy("hash").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialise(by_text.withColumn("node", F.monotonically_increasing_id()))  # written, so they don't change any more
+    buckets = classes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key"))
     full = materialise(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = materialise(joined(buckets, full, "key", "inner").dropDuplicates(["key", "node"]))
+    members = materialise(joined(buckets, full, "key", "inner"))
     nodes = materialise(members.select("node").distinct())
-    candidates = materialise(joined(docs.withColumnRenamed("doc_id", "node"), nodes, "node", "left_semi"))
+    rows = materialise(joined(classes, nodes, "node", "left_semi").select("node", "first.doc_id", "first.part"))
+    candidates = materialise(joined(docs, rows, ["doc_id", "part"], "inner").select("node", "text").dropDuplicates(["node"]))
     members = joined(members, materialise(lone_shingles(candidates)), "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     share = similar / (1 + similar)
     members = members.where(F.col("most") >= similar * F.col("n") - 1e-6)  # overlap >= share * (n + similar * n) at least
@@ -221,8 +219,9 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
     # are the nodes outside the bucket's largest group with all others.
     for last in (False, True):
         now = members.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        open_keys = now.groupBy("key").agg(F.count_distinct("group").alias("k"), F.mode("group", True).alias("largest"), F.max(F.struct("degree", "node")).alias("top")).where("k > 1").drop("k")
-        now = materialise(now.join(open_keys, "key"))
+        sizes = now.groupBy("key", "group").agg(F.count("*").alias("m"), F.max(F.struct("degree", "node")).alias("top"))
+        open_keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "group")).alias("most"), F.max("top").alias("top")).where("k > 1")
+        now = materialise(joined(now, materialise(open_keys.select("key", F.col("most.group").alias("largest"), "top")), "key", "inner"))
         a, b = (now.select("key", "largest", "top", *(F.col(c).alias(f"{side}_{c}") for c in carried)).withColumnRenamed("key", f"{side}_key") for side in "ab")
         if last:
             a, b = a.where("a_group != largest"), b.drop("largest", "top")
@@ -237,30 +236,47 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
         if more.limit(1).count():
             linked = linked.union(more)
             labels = components(linked)
-    return every.select("doc_id", "hash").join(classes.select("hash", "node"), "hash").select("doc_id", "node"), labels
+    return every.select("doc_id", "part", "hash"), classes.select("hash", "node", "first"), labels
 
 
 def to_hub(members: DataFrame) -> DataFrame:
     """(a, b, b_degree): each node with the hub, the node of largest degree, of each of its buckets."""
-    hubs = members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    return members.join(hubs.select("key", "hub"), "key").where("node != hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.degree").alias("b_degree"))
+    hubs = materialise(members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"))
+    return joined(members, hubs, "key", "inner").where("node != hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.degree").alias("b_degree"))
+
+
+def classified(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, part, class (doc_id and part of the first row of its group) and text_id of each row with an id."""
+    every, classes, labels = links(parted(docs), similar)
+    named = labels.join(classes.select("node", "first"), "node")
+    firsts = named.groupBy("group").agg(F.min("first").alias("class"))
+    groups = materialise(named.select("node", "group").join(firsts, "group").select("node", "class"))
+    by_text = joined(classes, groups, "node", "left").select("hash", F.coalesce("class", "first").alias("class"), F.col("first.doc_id").alias("text_id"))
+    found = every.join(by_text, "hash").select("doc_id", "part", "class", "text_id")
+    alone = every.where("hash is null").select("doc_id", "part", F.struct("doc_id", "part").alias("class"), F.col("doc_id").alias("text_id"))
+    return found.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the smallest id of the document's group) and text_id (the smallest id with the same words).
 
-    docs: doc_id, text; other columns are ignored. Words are split at ASCII white space. Groups are the connected
-    components of pairs with a weighted Jaccard similarity of at least `similar`. Texts without words (null, empty) are
-    each a class of their own. doc_id is a key: rows that repeat an id are one document; a null id has null classes and
-    takes no part. An empty table gives an empty one.
+    docs: doc_id, text; other columns are ignored. Words are split at ASCII white space, whole texts count, however long.
+    Groups are the connected components of pairs with a weighted Jaccard similarity of at least `similar`, so two of a
+    group may be less alike than that. Texts without words (null, empty) are each a class of their own. A row per row of
+    docs: rows that repeat an id are judged each by its own text; a null id has null classes and takes no part. An empty
+    table gives an empty one.
     """
-    classes, labels = links(docs, similar)
-    found = classes.join(labels, "node", "left").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("group", "node")).alias("class"), F.min("node").alias("text_id"))
-    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"))
+    rows = classified(docs, similar).select("doc_id", F.col("class.doc_id").alias("class_id"), "text_id")
+    return rows.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id")))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of docs that near_duplicates doesn't put in the class of a smaller id; rows with null ids stay."""
-    gone = materialise(near_duplicates(docs, similar).where("class_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    small = gone.limit(2_000_001).count() <= 2_000_000
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs that are the first of their group, by id, then by text; rows with null ids stay.
+
+    A group is a chain of similar documents: a member goes with it even if it is unlike the one that stays. Rows of equal
+    id and text are one document, and stay or go together.
+    """
+    gone = classified(docs, similar).where((F.col("doc_id") != F.col("class.doc_id")) | (F.col("part") != F.col("class.part")))
+    gone = materialise(gone.select(F.col("doc_id").alias("__gone"), F.col("part").alias("__of")).distinct())
+    rows = docs.withColumn("__part", part_of("text"))
+    return joined(rows, gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__part") == F.col("__of")), "left_anti").drop("__part")

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strata.llm import common
 from strata.llm import near_dedup as nd
 
 from .conftest import ODD
@@ -110,3 +111,16 @@ def test_a_signature_is_of_its_bag_alone(items):
     alone = nd.signatures([(k, c)])[0]
     other = (np.arange(100, 160, dtype=np.uint64), np.full(60, 3))
     assert (nd.signatures([other, (k, c)])[1] == alone).all()
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_rows_of_one_id(docs, monkeypatch, limit):
+    """Rows of an id with unlike texts are judged each by its own, in broadcast and in shuffled joins; equal rows are one."""
+    if limit is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = one + " more"
+    rows = [(1, one), (2, near), (2, other), (3, third), (3, third), (4, third + " and"), (5, other)]
+    got = sorted((r.doc_id, r.class_id) for r in nd.near_duplicates(docs(rows)).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 3), (3, 3), (4, 3), (5, 2)]
+    assert sorted((r.doc_id, r.text) for r in nd.keep_one(docs(rows)).collect()) == sorted([(1, one), (2, other), (3, third), (3, third)])
