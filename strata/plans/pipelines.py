@@ -120,11 +120,12 @@ class Run:
         metrics.write.mode("overwrite").parquet(f"{self.root}/run_log/dataset={DAILY.name}/run={self.batch_id}")
         return metrics
 
-    def silver(self) -> DataFrame:
-        """Silver bars as they stand: the newest row of each symbol and date, with statistics over all of them."""
+    def silver(self, strategy: str = "window") -> DataFrame:
+        """Silver bars as they stand: the newest row of each symbol and date, with statistics over all of them (strategy: see
+        stats.as_of_stats)."""
         rows = readers.read_parquet(self.spark, f"{self.root}/silver/daily").drop("batch_id")
         one = dedupe.latest(rows, ["symbol", "day_date"], ["processed_at"])
-        return stats.as_of_stats(one, ["symbol"], "day_date", self.as_of).select(*DAILY.columns)
+        return stats.as_of_stats(one, ["symbol"], "day_date", self.as_of, strategy).select(*DAILY.columns)
 
     def overview(self, records: DataFrame) -> DataFrame:
         """Writes the overview if its content changed and returns one row: content_hash, previous_hash, changed."""
@@ -138,8 +139,8 @@ class Run:
             self.append_state(incremental.state_rows(marks, self.pipeline, "overview", "content_hash", "", self.batch_id, self.run_ts, "bronze to silver", verdict["content_hash"]))
         return self.spark.createDataFrame([tuple(verdict)], "content_hash string, previous_hash string, changed boolean")
 
-    def gold(self) -> DataFrame:
+    def gold(self, strategy: str = "window") -> DataFrame:
         """Gold over all of silver, with the overview, which is broadcast if it has few rows."""
         overview = self.spark.read.parquet(f"{self.root}/silver/overview/format=parquet")
         small = overview.limit(gold.BROADCAST_ROWS + 1).count() <= gold.BROADCAST_ROWS
-        return sinks.write_dual(gold_dataset(self.silver(), overview, small), f"{self.root}/gold")
+        return sinks.write_dual(gold_dataset(self.silver(strategy), overview, small), f"{self.root}/gold")

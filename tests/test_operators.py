@@ -13,6 +13,7 @@ from strata.operators import clean, dedupe, enrich, gold, incremental, quality,
 from strata.plans import pipelines as pl
 from strata.sources import readers, sinks
 from strata.spec import BAR_FIELDS, DAILY, DAILY_SERIES, OVERVIEW_NAMES, OVERVIEW_SCHEMA, STATE_SCHEMA, WEEKLY, overview_types, series_schema
+from strata.streaming import streams
 
 BAR = "row_id long, symbol string, day_date string, open string, high string, low string, close string, volume string, last_refreshed string"
 GOOD = dict(row_id=1, symbol="a", day_date="2001-01-02", open="10", high="12", low="9", close="11", volume="5", last_refreshed="2001-01-03")
@@ -249,3 +250,60 @@ def test_unchanged_overview_is_not_written(spark, tmp_path):
 def test_schema_drift(spark):
     got = readers.schema_drift(spark.createDataFrame([], "a int, b string"), T.StructType.fromDDL("a long, c date"))
     assert [tuple(r) for r in got.orderBy("column").collect()] == [("a", "bigint", "int", "type"), ("b", None, "string", "unexpected"), ("c", "date", None, "missing")]
+
+
+def test_gold_has_current_statistics(spark, tmp_path):
+    """After two loads each symbol has one range, on all its rows, with either strategy; a load without new bars writes none."""
+    days = [f"2001-01-{d:02d}" for d in range(1, 9)]
+    rows = bars(spark, *({"day_date": d, "symbol": "x", "open": str(i + 1), "high": str(90 + i), "low": "1"} for i, d in enumerate(days))).cache()
+    run = pl.Run(spark, str(tmp_path), "b1", "2001-08-02 00:00:00", "2001-01-24")
+    for batch, part in (("b1", rows.where("day_date < '2001-01-05'")), ("b2", rows), ("b3", rows)):
+        run.batch_id = batch
+        last = run.daily(part).first()
+    assert last.skipped and (last.n_written, str(last.old_mark)) == (0, "2001-01-08") and not (tmp_path / "silver/daily/batch_id=b3").exists()
+    for strategy in ("window", "agg"):
+        got = run.silver(strategy).collect()
+        assert len(got) == 8 and {(r.all_time_high, r.all_time_low) for r in got} == {(97.0, 1.0)} and None not in {r.thirty_day_avg_open for r in got}
+
+
+def test_quarantine_and_landing_can_be_repeated(spark, tmp_path):
+    bad = spark.createDataFrame([(1, "Missing symbol"), (2, "Volume cannot be negative")], "row_id int, validation_reason string")
+    for batch in ("b1", "b2", "b2"):
+        sinks.write_quarantine(bad, f"{tmp_path}/q", batch)
+    assert spark.read.parquet(f"{tmp_path}/q").count() == 4
+    docs = spark.createDataFrame([("k", "v", "a"), ("l", "w", None)], "key string, value string, name string")
+    for day in ("2001-01-01", "2001-01-02", "2001-01-02"):
+        sinks.land(docs, f"{tmp_path}/l", F.col("name"), day)
+    sinks.land(docs, f"{tmp_path}/l", "b", "2001-01-02")
+    assert readers.read_landed(spark, f"{tmp_path}/l").count() == 6
+
+
+def test_late_ticks_are_dropped(spark, tmp_path):
+    def run(*ticks):
+        rows = spark.createDataFrame([(dt.datetime(2001, 1, d, 12), "a", float(v), i) for d, v, i in ticks], "ts timestamp, k string, v double, i int")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        streams.stream_apply(streams.tumbling_bars(source, "ts", "k", "v", "i"), lambda df: df, streams.by_batch(f"{tmp_path}/out"), f"{tmp_path}/checkpoint", "update")
+
+    run((1, 5, 1), (8, 6, 2))
+    run((1, 9, 3), (8, 7, 4), (9, 8, 5))  # the first is a week late
+    got = streams.newest(spark.read.parquet(f"{tmp_path}/out"), ["symbol", "bar_start"])
+    assert sorted((r.bar_start.day, r.volume, r.high) for r in got.collect()) == [(1, 1, 5.0), (8, 2, 7.0), (9, 1, 8.0)]
+
+
+def test_compact(spark, tmp_path):
+    spark.range(100).repartition(7).write.parquet(f"{tmp_path}/many")
+    sinks.compact(spark, f"{tmp_path}/many", f"{tmp_path}/few", 60)
+    assert len(list((tmp_path / "few").glob("*.parquet"))) == 2 and spark.read.parquet(f"{tmp_path}/few").count() == 100
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="share"):
+        sinks.scratch(Session())
