@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -23,7 +24,7 @@ from strata.llm.common import map_rows, texts
 WHITE = r"\p{White_Space}"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|{WHITE}+(?![^{WHITE}])|{WHITE}+"
 NEVER = 1 << 30
-CACHED, PAIRS = 120_000, 300_000
+CACHED, PAIRS = 300_000, 600_000
 
 
 def byte_letters() -> list[str]:
@@ -33,6 +34,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Unsplittable(Exception):
     """A chunk between single spaces whose white space touches the chunk's edge."""
 
@@ -71,7 +77,8 @@ class BytePairs:
             self.bytes[i] = b
         for s, i in self.added.items():
             self.bytes[i] = s.encode()
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.sizes = [len(b) for b in self.bytes]
+        self.lengths = np.array(self.sizes, np.int64)
         split = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank, self.made, self.parts = {}, {}, {}
         for r, (a, b) in enumerate(split):
@@ -124,35 +131,38 @@ class BytePairs:
                 todo += [left, right]
         return True
 
-    def _apart(self, one: int, two: int) -> bool:
-        key = one << 20 | two
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = not self._crossed(one, two, NEVER)
+    def _apart(self, key: int) -> bool:
+        """Do the two tokens of the key (the first, 20 bits further left than the second) stay apart? Kept for later."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[key] = not self._crossed(key >> 20, key & 0xFFFFF, NEVER)
         return found
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
-        n, apart = len(data), self._apart
-        last, size = [-1] * (n + 1), [0] * (n + 1)
+        n, known, apart = len(data), self.pairs.get, self._apart
+        last = [-1] * n  # by the prefix's last byte
         for end, (token, k) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] < 0 and (k == end or apart(last[end - k], token)):
-                last[end], size[end] = token, k
-        ids = []
-        while n:
+            if last[end] < 0:
+                if k > end:
+                    last[end] = token
+                else:
+                    key = last[end - k] << 20 | token
+                    if known(key) or (known(key) is None and apart(key)):
+                        last[end] = token
+        ids, sizes, n = [], self.sizes, n - 1
+        while n >= 0:
             ids.append(last[n])
-            n -= size[n]
+            n -= sizes[last[n]]
         return ids[::-1]
 
     def _pretokens(self, text: str) -> bytes:
         out, words = [], self.words
-        for w in self.pattern.findall(text):
+        # of letters alone, but for a space before them, there is one pre-token
+        for w in (text,) if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.pattern.findall(text):
             ids = words.get(w)
             if ids is None:
-                ids = np.array(self.piece(w.encode("utf-8", "replace")), "<u4").tobytes()
+                ids = pack(self.piece(w.encode("utf-8", "replace")))
                 if len(w) <= 48:
                     if len(words) >= CACHED:
                         words.clear()
@@ -172,7 +182,7 @@ class BytePairs:
         """The ids as little-endian unsigned 32-bit integers. Strings of added tokens become those tokens."""
         if not self.added or not any(s in text for s in self.added):
             return self._plain(text)
-        return b"".join(np.array([self.added[x]], "<u4").tobytes() if x in self.added else self._plain(x) for x in self.added_pattern.split(text) if x)
+        return b"".join(pack([self.added[x]]) if x in self.added else self._plain(x) for x in self.added_pattern.split(text) if x)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -209,11 +219,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_vocabulary()
 
     def make():
-        pairs = vocabulary(path)
+        pairs, last, ids = vocabulary(path), "", np.zeros(0, "<i4")
 
         def handle(batch):
+            nonlocal last, ids
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(pairs.encode(text), "<i4")
+                if text != last:  # copies that a mix makes of a document follow each other
+                    last, ids = text, np.frombuffer(pairs.encode(text), "<i4")
                 yield doc, len(ids), ids
         return handle
 
