@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ RULES = ("majority", "first", "last")
 
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sections that are lines, each with the newline that ends it; a text without characters has none."""
-    ends = np.array([i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else [], np.int64)
+    ends = np.array([m.end() for m in re.finditer("\n", text)], np.int64)
     if text and (not len(ends) or ends[-1] != len(text)):
         ends = np.append(ends, len(text))
     return np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, ends
@@ -43,9 +45,10 @@ def count_tokens(docs: DataFrame, spans: DataFrame | None = None, rule: str = "m
     of no section (a row only if there are some).
 
     docs: doc_id, text; other columns are ignored. spans: doc_id, first_char, end_char (characters of the text, ends
-    excluded) of fields; those of a document are numbered in order and must not overlap; null or empty spans are ignored,
-    documents without spans have section -1 alone. By default sections are lines. A null or empty text has no section
-    and no row; repeated rows give repeated rows; an empty table gives an empty one. rule: see attribute.
+    excluded) of fields; those of a document are numbered in order and must not overlap (an error is raised if they do);
+    null or empty spans are ignored, documents without spans have section -1 alone. By default sections are lines. Texts are
+    encoded whole, however long. A null or empty text has no section and no row; repeated rows, also of null id, give
+    repeated rows (which have no spans of their own if the id is null); an empty table gives an empty one. rule: see attribute.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -61,6 +64,8 @@ def count_tokens(docs: DataFrame, spans: DataFrame | None = None, rule: str = "m
         def handle(batch):
             for doc, text, own in zip(batch["doc_id"], batch["text"], batch.get("spans", [()] * len(batch["doc_id"])), strict=True):
                 lo, hi = lines_of(text) if by_line else np.array([(s["first_char"], s["end_char"]) for s in own or []], np.int64).reshape(-1, 2).T
+                if (lo[1:] < hi[:-1]).any():
+                    raise ValueError(f"spans of document {doc} overlap")
                 starts, ends = pairs.spans(text, pairs.encode(text))
                 at = attribute(starts, ends, lo, hi, rule)
                 n = np.bincount(at + 1, minlength=len(lo) + 1).tolist()

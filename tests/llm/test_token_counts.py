@@ -23,14 +23,14 @@ def brute(library, text, spans, rule):
 
 def lines(text):
     out, at = [], 0
-    for part in text.splitlines(keepends=True) if "\r" not in text else []:
-        out.append((at, at + len(part)))
-        at += len(part)
-    return out
+    for part in text.split("\n"):
+        out.append((at, min(len(text), at + len(part) + 1)))
+        at += len(part) + 1
+    return [x for x in out if x[0] < x[1]]
 
 
 def test_lines(docs, clashing, library):
-    texts = [*(t if t is None or len(t) < 2000 else t[:2000] for t in ODD if t is None or "\x00" not in t), "One.\n\n\nTwo\n  three", "ñandú 日本\n日", "\nx"]
+    texts = [*ODD, "One.\n\n\nTwo\n  three", "ñandú 日本\n日", "\nx", "a\r\nb\rc\r\n", "\x00\n\x00a\n"]
     for make in (docs, clashing):
         got = {}
         for r in token_counts.count_tokens(make(texts)).collect():
@@ -39,6 +39,30 @@ def test_lines(docs, clashing, library):
             assert got.get(i, {}) == brute(library, t or "", lines(t or ""), "majority"), t
 
 
+def test_table(spark, data, library):
+    """Each line of each document of the table, by the library's offsets and all lines that a token meets."""
+    from strata.llm.queries import op7_token_counts
+
+    got = {}
+    for r in op7_token_counts(spark, data).collect():
+        got.setdefault(r.doc_id, {})[r.section] = r.n_tokens
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        if len(r.text) < 20_000:
+            assert got.get(r.doc_id, {}) == brute(library, r.text, lines(r.text), "majority"), r.doc_id
+
+
+def test_repeated_rows_and_null_ids(docs, library):
+    rows = token_counts.count_tokens(docs([(1, "a b\nc"), (1, "a b\nc"), (None, "a b\nc")])).collect()
+    want = brute(library, "a b\nc", lines("a b\nc"), "majority")
+    assert sorted((str(r.doc_id), r.section, r.n_tokens) for r in rows) == sorted((i, s, n) for i in ("1", "1", "None") for s, n in want.items())
+
+
+def test_spans_must_not_overlap(spark, docs):
+    spans = spark.createDataFrame([(0, 0, 3), (0, 2, 4)], "doc_id long, first_char long, end_char long")
+    with pytest.raises(Exception, match="overlap"):
+        token_counts.count_tokens(docs(["abcdef"]), spans).collect()
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_fields(spark, docs, library, rule):
     text = "Title of it: a ñandú\n\n\n\n\n\nBody text here, 日本 and unbelievable things"
