@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, token_counts, warc
+from strata.llm import bpe, collocations, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, token_counts, warc
 from strata.llm.common import table
 
 
@@ -59,5 +59,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality)}
-ORACLE_SQL = {"op5_warc": warc.ROUND_TRIP_SQL, "op6_mix": mixing.MIX_SQL, "op8_search": search.TOP_SQL, "op9_quality_rules": quality_rules.JUDGE_SQL}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality, op11_collocations)}
+ORACLE_SQL = {"op5_warc": warc.ROUND_TRIP_SQL, "op6_mix": mixing.MIX_SQL, "op8_search": search.TOP_SQL, "op9_quality_rules": quality_rules.JUDGE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL}
