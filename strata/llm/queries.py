@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, collocations, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, token_counts, warc
+from strata.llm import bpe, collocations, filter_audit, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, token_counts, url_filter, warc
 from strata.llm.common import table
 
 
@@ -63,5 +63,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality, op11_collocations)}
-ORACLE_SQL = {"op5_warc": warc.ROUND_TRIP_SQL, "op6_mix": mixing.MIX_SQL, "op8_search": search.TOP_SQL, "op9_quality_rules": quality_rules.JUDGE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL}
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_bpe, op4_licenses, op5_warc, op6_mix, op7_token_counts, op8_search, op9_quality_rules, op10_quality, op11_collocations, op12_url_filter, op13_filter_audit)}
+ORACLE_SQL = {"op5_warc": warc.ROUND_TRIP_SQL, "op6_mix": mixing.MIX_SQL, "op8_search": search.TOP_SQL, "op9_quality_rules": quality_rules.JUDGE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
