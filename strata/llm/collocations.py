@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from urllib.parse import quote, unquote
 
@@ -28,10 +28,8 @@ from strata.llm.count_automata import Automaton, Phrase, build, compose, union
 CHUNK_WORDS, OPEN_WORDS = 2 << 20, 4 << 20
 #: About how many n-grams of chunks meet in one task to be summed, and how many entries an automaton of a prefix range unites.
 GROUP, RANGE = 4 << 20, 1 << 19
-#: Phrases of each sampled chunk that tell where ranges are cut; they only balance the ranges.
-MARKS, MARKED = 64, 512
-#: Candidates that are ranked in one task.
-RANKED = 1 << 18
+#: Phrases of each sampled chunk that tell where ranges are cut, and chunks of a language that are sampled, at least.
+MARKS, SAMPLED = 256, 4
 BREAKS, BLANK = b".,;:!?\n\x0b\x0c\r", b"\t"
 SPLIT = bytes(10 if c in BREAKS else 32 if c in BLANK else c for c in range(256))
 CHUNK = "chunk long, lang string, n_words long, vocab binary, ids binary"
@@ -161,65 +159,83 @@ def key_of(lang: str) -> bytes:
     return quote(lang, safe="").encode()
 
 
-def shard_automata(table: DataFrame, flags: DataFrame, longest: int) -> DataFrame:
-    """chunk, n, marks (phrases at even distances) and automaton of each chunk's n-grams that may be frequent."""
+def frequent_items(row: dict, longest: int) -> list[tuple[Phrase, int]]:
+    """A chunk's n-grams that may be frequent, sorted, with their counts."""
+    words, ids, grams = ngrams(row["lang"], row["vocab"], row["ids"], longest)
+    _, first, counts = np.unique(np.concatenate([h for _, h, _ in grams]), return_index=True, return_counts=True)
+    often = np.concatenate([np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]) for x in row["flags"]]).astype(bool)
+    first, counts, key = first[often], counts[often], key_of(row["lang"])
+    end, items = 0, []
+    for n, _, starts in grams:
+        mine = (first >= end) & (first < end + len(starts))
+        at = starts[first[mine] - end]
+        columns = [[words[i - 1] for i in ids[at + j].tolist()] for j in range(n)]
+        items += zip(zip([key] * len(at), *columns, strict=True), counts[mine].tolist(), strict=True)
+        end += len(starts)
+    return sorted(items)
+
+
+def by_chunk(rows: DataFrame, handle_one, schema: str) -> DataFrame:
     def make():
         def handle(batch):
-            for chunk, lang, vocab, ids, told in zip(batch["chunk"], batch["lang"], batch["vocab"], batch["ids"], batch["flags"], strict=True):
-                words, ids, grams = ngrams(lang, vocab, ids, longest)
-                _, first, counts = np.unique(np.concatenate([h for _, h, _ in grams]), return_index=True, return_counts=True)
-                often = np.concatenate([np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]) for x in told]).astype(bool)
-                first, counts, key = first[often], counts[often], key_of(lang)
-                ends, items = np.cumsum([len(s) for _, _, s in grams]), []
-                for (n, _, starts), end in zip(grams, ends, strict=True):
-                    mine = (first < end) & (first >= end - len(starts))
-                    at = starts[first[mine] - (end - len(starts))]
-                    columns = [[words[i - 1] for i in ids[at + j].tolist()] for j in range(n)]
-                    items += zip(zip([key] * len(at), *columns, strict=True), counts[mine].tolist(), strict=True)
-                items.sort()
-                if items:
-                    marks = [b"\n".join(items[i][0]) for i in np.linspace(0, len(items) - 1, MARKS).astype(int)]
-                    yield chunk, len(items), marks, build(items).dump()
+            for row in zip(*batch.values(), strict=True):
+                yield from handle_one(dict(zip(batch, row, strict=True)))
         return handle
 
-    return map_rows(table.join(flags, "chunk"), make, "chunk long, n long, marks array<binary>, automaton binary", chunk=4)
+    return map_rows(rows, make, schema, chunk=4)
+
 
+def cuts_of(table: DataFrame, flags: DataFrame, longest: int) -> list[Phrase]:
+    """Phrases at which the order of phrases is cut into ranges of about RANGE entries each.
 
-def cuts_of(shards: DataFrame) -> list[Phrase]:
-    """Phrases at which the order of phrases is cut into ranges of about RANGE entries each, from marks of some chunks."""
-    total = shards.agg(F.sum("n")).first()[0] or 0
-    ranges = -(-total // RANGE)
-    some = shards.select("n", "marks").orderBy(F.xxhash64("chunk")).limit(max(MARKED, ranges // 4)).collect()
-    marks = sorted((tuple(m.split(b"\n")), r["n"]) for r in some for m in map(bytes, r["marks"]))
-    edge, at, cuts = sum(n for _, n in marks) / max(1, ranges), 0, []
-    for phrase, n in marks:
+    Some chunks of each language tell them, by phrases at even distances: more of them the more ranges there will be. They
+    only balance the ranges.
+    """
+    total, n_langs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count_distinct("lang")).first()
+    some = max(SAMPLED, total * longest // RANGE // MARKS // max(1, n_langs))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("chunk")))
+    known = table.select("chunk", "lang").withColumns({"place": place, "of": F.count("*").over(Window.partitionBy("lang"))})
+    sample = known.where(F.col("place") <= some).select("chunk", (F.col("of") / F.least("of", F.lit(some))).alias("weight"))
+
+    def marks(row: dict) -> Iterator[tuple]:
+        items = frequent_items(row, longest)
+        for i in range(len(items) // MARKS // 2, len(items), max(1, len(items) // MARKS)):
+            yield b"\n".join(items[i][0]), row["weight"] * max(1, len(items) // MARKS)
+
+    found = by_chunk(joined(table, materialise(sample), "chunk", "inner").join(flags, "chunk"), marks, "mark binary, n double").collect()
+    found = sorted((tuple(bytes(m).split(b"\n")), n) for m, n in found)
+    entries = sum(n for _, n in found)
+    ranges = int(-(-entries // RANGE))
+    at, cuts = 0.0, []
+    for phrase, n in found:
         at += n
-        if at >= edge * (len(cuts) + 1) and len(cuts) < ranges - 1 and phrase not in cuts[-1:]:
+        if at >= entries / ranges * (len(cuts) + 1) and len(cuts) < ranges - 1 and phrase not in cuts[-1:]:
             cuts.append(phrase)
     return cuts
 
 
-def by_range(items: Iterator[tuple[Phrase, int]], cuts: list[Phrase]) -> Iterator[tuple[int, list]]:
+def by_range(items: Iterable[tuple[Phrase, int]], cuts: list[Phrase]) -> Iterator[tuple[int, list]]:
     """Sorted items by prefix range."""
     for n, group in groupby(items, key=lambda x: bisect_right(cuts, x[0])):
         yield n, list(group)
 
 
-def range_automata(shards: DataFrame, cuts: list[Phrase], least: int) -> DataFrame:
-    """range, n and automaton: the union of all shards' automata within the range, of n-grams that occur `least` times."""
-    def make():
-        def handle(batch):
-            for data in batch["automaton"]:
-                for n, items in by_range(Automaton.load(data).items(), cuts):
-                    yield n, build(items).dump()
-        return handle
+def shard_automata(flagged: DataFrame, cuts: list[Phrase], longest: int) -> DataFrame:
+    """range and automaton: those of each chunk, of its n-grams that may be frequent."""
+    def automata(row: dict) -> Iterator[tuple]:
+        for n, items in by_range(frequent_items(row, longest), cuts):
+            yield n, build(items).dump()
+
+    return by_chunk(flagged, automata, "range long, automaton binary")
+
 
+def range_automata(shards: DataFrame, least: int) -> DataFrame:
+    """range and automaton: the union of all shards' automata within the range, of n-grams that occur `least` times."""
     def unite(rows: pa.Table) -> pa.Table:
         often = build((p, n) for p, n in union([Automaton.load(x) for x in rows["automaton"].to_pylist()]) if n >= least)
         return pa.table({"range": rows["range"][:1], "automaton": pa.array([often.dump()], pa.binary())})
 
-    parts = map_rows(shards.select("automaton"), make, "range long, automaton binary", chunk=16)
-    return parts.groupBy("range").applyInArrow(unite, "range long, automaton binary")
+    return shards.groupBy("range").applyInArrow(unite, "range long, automaton binary")
 
 
 def parts_of(phrase: Phrase) -> Iterator[Phrase]:
@@ -282,12 +298,11 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     """The k best rows of each language with their rank. Parts of a language are ranked first, so that no task ranks it whole."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     n = rows.count()
-    while n > RANKED:
-        parts = -(-n // RANKED)
-        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+    while n > 5 * k:
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(-(-n // (5 * k))))).orderBy(*order)
         rows = materialise(rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank"))
         n, before = rows.count(), n
-        if 2 * n > before:  # many languages, or k large: nothing is left to gain
+        if 4 * n > 3 * before:  # of most parts all are left
             break
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
@@ -304,9 +319,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, k: int = 20
     Runs jobs: chunks, shard automata, ranges and candidates are written to the shared folder.
     """
     table = materialise(chunks(docs))
-    shards = materialise(shard_automata(table, frequent(table, longest, least), longest))
-    cuts = cuts_of(shards)
-    ranges = materialise(range_automata(shards, cuts, least))
+    flags = materialise(frequent(table, longest, least))
+    cuts = cuts_of(table, flags, longest)
+    ranges = materialise(range_automata(shard_automata(table.join(flags, "chunk"), cuts, longest), least))
     found = materialise(scored(ranges, part_counts(ranges, cuts)))
     gone = found.select("lang", F.explode("inside").alias("phrase")).distinct()
     left = materialise(found.drop("inside").join(gone, ["lang", "phrase"], "left_anti"))
