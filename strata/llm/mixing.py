@@ -67,11 +67,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     docs: doc_id, text, source; other columns are ignored. quality: a column of docs with a score from 0 to 1 to draw by;
     by default the words' mean length stands in. Whole texts are measured, however long. Null text: size 0; a null score
-    counts as 0; a null source is a source of its own, null ids are alike. Rows of equal id and text are drawn in a row and
+    or NaN counts as 0; a null source is a source of its own, null ids are alike. Rows of equal id and text are drawn in a row and
     each counts; an empty table gives an empty one; with no words at all every target is 0. A document is drawn if the prefix sum's rest reaches at least its middle, so a
     source misses its target by half a document at most.
     """
-    weight = quality_weight(F.coalesce("text", F.lit("")), size_of(F.col("text"))) if quality is None else F.lit(LEAST) + F.lit(1 - LEAST) * F.least(F.greatest(F.coalesce(F.col(f"`{quality}`"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    weight = quality_weight(F.coalesce("text", F.lit("")), size_of(F.col("text"))) if quality is None else F.lit(LEAST) + F.lit(1 - LEAST) * F.least(F.greatest(F.nanvl(F.coalesce(F.col(f"`{quality}`").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), weight.alias("weight"))
     rows = materialise(sized.select("doc_id", "source", "size", "weight", (-F.log(uniform(F.col("doc_id"))) / F.col("weight")).alias("key")))
     per = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"), weight_bins(F.col("weight")).alias("bins")))
