@@ -32,8 +32,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("problem is null")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to as bigint)").alias("refers_to"))
+    """A gap or a damaged record in what was just written fails the query."""
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    sound = F.when(F.col("problem").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("archive record "), F.col("offset").cast("string"), F.lit(" of "), "file", F.lit(": "), "problem")).cast("long"))
+    return records.withColumn("page_id", sound).select("page_id", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to as bigint)").alias("refers_to"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
