@@ -12,7 +12,7 @@ def test_stages_against_their_operators(spark, data):
     docs = cp.materialise(cp.quality(spark, docs, data))
     assert {r.doc_id for r in docs.collect()} == accepted and docs.columns == columns
     drops = {}
-    for r in line_dedup.duplicate_lines(docs).collect():
+    for r in line_dedup.duplicate_lines(docs, per=line_dedup.PER).collect():
         drops.setdefault(r.doc_id, set()).add(r.line_no)
     want = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in drops.get(r.doc_id, ())) for r in docs.collect()}
     docs = cp.materialise(cp.distinct_lines(spark, docs, data))
