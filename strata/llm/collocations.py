@@ -8,14 +8,14 @@ for the counts of parts of their candidates: an acceptor of the wanted phrases i
 
 from __future__ import annotations
 
-import hashlib
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
-from itertools import groupby
+import gc
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +89,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 def ngrams(lang: str, vocab: bytes, ids: bytes, longest: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
     """A chunk's words, its word numbers, and for each length n the hashes and the starts of its n-grams."""
     words = vocab.split(b"\n") if vocab else []
-    seed = lang.encode() + b"\n"
-    coded = np.array([0, *(int.from_bytes(hashlib.blake2b(seed + w, digest_size=8).digest(), "little") for w in words)], np.uint64)
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    coded = np.array([0, *(xxhash.xxh3_64_intdigest(w, seed) for w in words)], np.uint64)
     ids = np.frombuffer(ids, "<u4")
     starts, hashes, out = np.flatnonzero(ids), coded[ids], []
     run = hashes[starts]
@@ -133,6 +133,8 @@ def frequent(table: DataFrame, longest: int, least: int) -> DataFrame:
         def handle(batch):
             for chunk, lang, vocab, ids in zip(batch["chunk"], batch["lang"], batch["vocab"], batch["ids"], strict=True):
                 values, counts = np.unique(np.concatenate([h for _, h, _ in ngrams(lang, vocab, ids, longest)[2]]), return_counts=True)
+                if not len(values):
+                    continue
                 group, low = dealt(values, groups)
                 counts = np.minimum(counts, least).astype(small)
                 ends = np.flatnonzero(np.diff(group, append=-1)) + 1
@@ -162,24 +164,51 @@ def key_of(lang: str) -> bytes:
 def frequent_items(row: dict, longest: int) -> list[tuple[Phrase, int]]:
     """A chunk's n-grams that may be frequent, sorted, with their counts."""
     words, ids, grams = ngrams(row["lang"], row["vocab"], row["ids"], longest)
-    _, first, counts = np.unique(np.concatenate([h for _, h, _ in grams]), return_index=True, return_counts=True)
+    every = np.concatenate([h for _, h, _ in grams])
+    values, counts = np.unique(every, return_counts=True)
     often = np.concatenate([np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]) for x in row["flags"]]).astype(bool)
-    first, counts, key = first[often], counts[often], key_of(row["lang"])
-    end, items = 0, []
+    values, counts = values[often], counts[often]
+    if not len(values):
+        return []
+    # a place of each, by tables of some of the hash's bits; those that fall together in one are looked up in the next
+    place, left, shift, mask = np.empty(len(values), np.int64), np.arange(len(values), dtype=np.int32), 0, np.uint64((1 << 22) - 1)
+    while len(left):
+        slot, table = (values[left] >> np.uint64(shift)) & mask, np.full(1 << 22, -1, np.int32)
+        table[slot] = left
+        found = table[(every >> np.uint64(shift)) & mask]
+        at = np.flatnonzero(found >= 0)
+        found = found[at]
+        hit = values[found] == every[at]
+        place[found[hit]] = at[hit]
+        left, shift = left[table[slot] != left], (shift + 21) % 63
+    # in order of words: each word counts as its rank, none as 0
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.zeros(len(words) + 1, np.int64)
+    rank[np.array(order) + 1] = np.arange(1, len(words) + 1)
+    columns, sizes, end = np.zeros((longest, len(values)), np.int64), np.zeros(len(values), np.int64), 0
     for n, _, starts in grams:
-        mine = (first >= end) & (first < end + len(starts))
-        at = starts[first[mine] - end]
-        columns = [[words[i - 1] for i in ids[at + j].tolist()] for j in range(n)]
-        items += zip(zip([key] * len(at), *columns, strict=True), counts[mine].tolist(), strict=True)
+        mine = np.flatnonzero((place >= end) & (place < end + len(starts)))
+        for j in range(n):
+            columns[j, mine] = rank[ids[starts[place[mine] - end] + j]]
+        sizes[mine] = n
         end += len(starts)
-    return sorted(items)
+    by_word = np.lexsort(columns[::-1])
+    ranked, key = [b"", *map(words.__getitem__, order)], key_of(row["lang"])
+    rows = zip(*([ranked[i] for i in c[by_word].tolist()] for c in columns), strict=True)
+    return [((key, *r[:n]), m) for r, n, m in zip(rows, sizes[by_word].tolist(), counts[by_word].tolist(), strict=True)]
 
 
-def by_chunk(rows: DataFrame, handle_one, schema: str) -> DataFrame:
+def by_chunk(rows: DataFrame, handle_one: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """Runs handle_one on each row. It makes many small tuples, all of them needed, so the collector of cycles rests meanwhile."""
     def make():
         def handle(batch):
             for row in zip(*batch.values(), strict=True):
-                yield from handle_one(dict(zip(batch, row, strict=True)))
+                gc.disable()
+                try:
+                    out = handle_one(dict(zip(batch, row, strict=True)))
+                finally:
+                    gc.enable()
+                yield from out
         return handle
 
     return map_rows(rows, make, schema, chunk=4)
@@ -197,10 +226,10 @@ def cuts_of(table: DataFrame, flags: DataFrame, longest: int) -> list[Phrase]:
     known = table.select("chunk", "lang").withColumns({"place": place, "of": F.count("*").over(Window.partitionBy("lang"))})
     sample = known.where(F.col("place") <= some).select("chunk", (F.col("of") / F.least("of", F.lit(some))).alias("weight"))
 
-    def marks(row: dict) -> Iterator[tuple]:
+    def marks(row: dict) -> list[tuple]:
         items = frequent_items(row, longest)
-        for i in range(len(items) // MARKS // 2, len(items), max(1, len(items) // MARKS)):
-            yield b"\n".join(items[i][0]), row["weight"] * max(1, len(items) // MARKS)
+        step = max(1, len(items) // MARKS)
+        return [(b"\n".join(p), row["weight"] * step) for p, _ in items[step // 2 :: step]]
 
     found = by_chunk(joined(table, materialise(sample), "chunk", "inner").join(flags, "chunk"), marks, "mark binary, n double").collect()
     found = sorted((tuple(bytes(m).split(b"\n")), n) for m, n in found)
@@ -214,17 +243,18 @@ def cuts_of(table: DataFrame, flags: DataFrame, longest: int) -> list[Phrase]:
     return cuts
 
 
-def by_range(items: Iterable[tuple[Phrase, int]], cuts: list[Phrase]) -> Iterator[tuple[int, list]]:
+def by_range(items: list[tuple[Phrase, int]], cuts: list[Phrase]) -> Iterator[tuple[int, list]]:
     """Sorted items by prefix range."""
-    for n, group in groupby(items, key=lambda x: bisect_right(cuts, x[0])):
-        yield n, list(group)
+    ends = [bisect_left(items, (c,)) for c in cuts]
+    for n, (a, b) in enumerate(zip([0, *ends], [*ends, len(items)], strict=True)):
+        if a < b:
+            yield n, items[a:b]
 
 
 def shard_automata(flagged: DataFrame, cuts: list[Phrase], longest: int) -> DataFrame:
     """range and automaton: those of each chunk, of its n-grams that may be frequent."""
-    def automata(row: dict) -> Iterator[tuple]:
-        for n, items in by_range(frequent_items(row, longest), cuts):
-            yield n, build(items).dump()
+    def automata(row: dict) -> list[tuple]:
+        return [(n, build(items).dump()) for n, items in by_range(frequent_items(row, longest), cuts)]
 
     return by_chunk(flagged, automata, "range long, automaton binary")
 
@@ -257,7 +287,7 @@ def part_counts(ranges: DataFrame, cuts: list[Phrase]) -> DataFrame:
         def handle(batch):
             for mine, data in zip(batch["range"], batch["automaton"], strict=True):
                 wanted = {part for phrase, _ in Automaton.load(data).items() if len(phrase) > 2 for part in parts_of(phrase)}
-                for other, items in by_range(((p, 0) for p in sorted(wanted)), cuts):
+                for other, items in by_range([(p, 0) for p in sorted(wanted)], cuts):
                     yield other, mine, len(items), build(items).dump()
         return handle
 

@@ -51,8 +51,9 @@ class Automaton:
     def dump(self) -> bytes:
         words = sorted({w for arcs in self.arcs for w in arcs})
         place = {w: i for i, w in enumerate(words)}
-        flat = [(place[w], out, target) for arcs in self.arcs for w, (out, target) in arcs.items()]
-        label, out, target = (np.array(x, t) for x, t in zip(zip(*flat, strict=True) if flat else ((), (), ()), ("<u4", "<i8", "<u4"), strict=True))
+        flat = [arc for arcs in self.arcs for arc in arcs.values()]
+        label = np.array([place[w] for arcs in self.arcs for w in arcs], "<u4")
+        out, target = np.array([o for o, _ in flat], "<i8"), np.array([t for _, t in flat], "<u4")
         parts = [np.array([len(w) for w in words], "<u4"), label, out, target, np.array([len(a) for a in self.arcs], "<u4"), np.array(self.final, "<i8")]
         return struct.pack("<4q", len(words), len(flat), len(self.arcs), self.start) + b"".join(p.tobytes() for p in parts) + b"".join(words)
 
@@ -88,43 +89,50 @@ class Builder:
 
     def finish(self, depth: int) -> None:
         """The states of the last phrase below depth are done."""
-        while len(self.path) > depth + 1:
-            final, arcs, _ = self.path.pop()
-            self.path[-1][1][self.last[len(self.path) - 1]] = (self.path[-1][2], self.state(final, arcs))
+        path, last = self.path, self.last
+        while len(path) > depth + 1:
+            final, arcs, _ = path.pop()
+            into = path[-1]
+            into[1][last[len(path) - 1]] = (into[2], self.state(final, arcs))
 
     def state(self, final: int, arcs: dict[bytes, tuple[int, int]]) -> int:
-        seen = (final, tuple(arcs.items()))
+        seen = (final, tuple(arcs.items())) if arcs else final
         if (n := self.known.get(seen)) is None:
             n = self.known[seen] = len(self.final)
             self.final.append(final)
             self.arcs.append(arcs)
         return n
 
-    def add(self, phrase: Phrase, weight: int) -> None:
-        if self.last is not None:
-            if phrase <= self.last:
+    def add(self, phrase: Phrase, weight: int, ends: bool = False) -> None:
+        """ends: no phrase that follows has this one as its beginning, so its last state is done at once."""
+        last, path, same = self.last, self.path, 0
+        if last is not None:
+            if phrase <= last:
                 raise ValueError("phrases must come in ascending order, each once")
-            same, limit = 0, min(len(phrase), len(self.last))
-            while same < limit and phrase[same] == self.last[same]:
+            for a, b in zip(phrase, last, strict=False):
+                if a != b:
+                    break
                 same += 1
-            self.finish(same)
+            if len(path) > same + 1:
+                self.finish(same)
+            for depth in range(same):  # what the shared arcs carry beyond this phrase's weight moves on
+                node = path[depth]
+                more = node[2] - weight
+                if more > 0:
+                    node[2], below = weight, path[depth + 1]
+                    if below[0] != NONE:
+                        below[0] += more
+                    for word, (out, target) in below[1].items():
+                        below[1][word] = (out + more, target)
+                    below[2] += more
+                weight -= node[2]
+        for _ in range(len(phrase) - same - ends):
+            path[-1][2], weight = weight, 0
+            path.append([NONE, {}, 0])
+        if ends:
+            path[-1][1][phrase[-1]] = (weight, self.state(0, {}))
         else:
-            same = 0
-        for depth in range(same):  # what the shared arcs carry beyond this phrase's weight moves on
-            node = self.path[depth]
-            more = node[2] - weight
-            if more > 0:
-                node[2], below = weight, self.path[depth + 1]
-                if below[0] != NONE:
-                    below[0] += more
-                for word, (out, target) in below[1].items():
-                    below[1][word] = (out + more, target)
-                below[2] += more
-            weight -= node[2]
-        for _ in phrase[same:]:
-            self.path[-1][2], weight = weight, 0
-            self.path.append([NONE, {}, 0])
-        self.path[-1][0] = weight
+            path[-1][0] = weight
         self.last = phrase
 
     def done(self) -> Automaton:
@@ -134,9 +142,13 @@ class Builder:
 
 def build(items: Iterable[tuple[Phrase, int]]) -> Automaton:
     """The automaton of phrases in ascending order."""
-    builder = Builder()
-    for phrase, weight in items:
-        builder.add(phrase, weight)
+    builder, phrase, weight = Builder(), None, 0
+    for following, n in items:
+        if phrase is not None:
+            builder.add(phrase, weight, following[: len(phrase)] != phrase)
+        phrase, weight = following, n
+    if phrase is not None:
+        builder.add(phrase, weight, len(phrase) > 0)
     return builder.done()
 
 
