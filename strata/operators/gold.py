@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Rows of reference data that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+from strata.operators.joins import joined
 
 
-def enrich_left(bars: DataFrame, ref: DataFrame, key: str = "symbol", drop: tuple[str, ...] = ("processed_at",), small: bool | None = None) -> DataFrame:
+def enrich_left(bars: DataFrame, ref: DataFrame, key: str = "symbol", drop: tuple[str, ...] = ("processed_at",), stored: bool = False) -> DataFrame:
     """Every bar with its reference row or nulls. ref must have one row per key (see dedupe.latest).
 
-    small: whether ref was counted to be under BROADCAST_ROWS; by default Spark's own size threshold decides.
+    stored: ref is read from a table, so its bytes can be measured to decide on a broadcast; else Spark's own estimate decides.
     """
     ref = ref.drop(*drop)
-    return bars.join(F.broadcast(ref) if small else ref, key, "left")
+    return joined(bars, ref, key, "left") if stored else bars.join(ref, key, "left")
 
 
 def unmatched(bars: DataFrame, ref: DataFrame, key: str = "symbol") -> DataFrame:

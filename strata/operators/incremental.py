@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import canonical
@@ -13,10 +13,10 @@ from strata.spec import STATE_SCHEMA
 ID = ("pipeline_name", "dataset_name", "watermark_key")
 
 
-def latest_state(state: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
-    """The newest SUCCESS record of each key; records are only ever appended."""
+def latest_state(state: DataFrame, by: tuple[str, ...] = ID, order: tuple[str, ...] = ("updated_at", "batch_id")) -> DataFrame:
+    """The newest SUCCESS record of each key, by the columns of order; records are only ever appended."""
     rest = [c for c in state.columns if c not in by]
-    row = F.struct("updated_at", "batch_id", *(c for c in rest if c not in ("updated_at", "batch_id")))
+    row = F.struct(*order, *(c for c in rest if c not in order))
     best = state.where("status = 'SUCCESS'").groupBy(*by).agg(F.max(row).alias("__row"))
     return best.select(*by, *(F.col(f"__row.{c}").alias(c) for c in rest)).select(*state.columns)
 
@@ -40,13 +40,13 @@ def new_marks(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(day).alias("mark"))
 
 
-def state_rows(marks: DataFrame, pipeline: str, dataset: str, column: str, key: str, batch_id: str, run_ts: datetime | str, remarks: str = "", content_hash: str | None = None) -> DataFrame:
+def state_rows(marks: DataFrame, pipeline: str, dataset: str, column: str, key: str, batch_id: str, run_ts: datetime | str, content_hash: str | None = None) -> DataFrame:
     """State records to append, one per key of marks."""
     at = F.lit(str(run_ts)).cast("timestamp")
     values = {
         "pipeline_name": F.lit(pipeline), "dataset_name": F.lit(dataset), "watermark_column": F.lit(column), "watermark_key": F.col(key) if key else F.lit(None).cast("string"),
         "watermark_value": F.col("mark").cast("string"), "last_processed_at": at, "batch_id": F.lit(batch_id), "status": F.lit("SUCCESS"), "updated_at": at,
-        "updated_by": F.lit(pipeline), "remarks": F.lit(remarks), "content_hash": F.lit(content_hash).cast("string"),
+        "content_hash": F.lit(content_hash).cast("string"),
     }
     return marks.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in STATE_SCHEMA))
 
@@ -82,5 +82,28 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], exclude: tupl
     return both.select(*keys, change.alias("change"))
 
 
+def key_bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
+
+def bucket_digests(df: DataFrame, keys: list[str], buckets: int, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """bucket and digest of the rows of each key bucket: counts and sums over row hashes, as content_hash has, to be stored
+    with a snapshot."""
+    hashed = df.select(key_bucket(keys, buckets), F.sha2(canonical(sorted(c for c in df.columns if c not in exclude)), 256).alias("h"))
+    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    sums = hashed.groupBy("bucket").agg(F.count("*").cast("decimal(38,0)").alias("s"), *(F.sum(part(i)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)))
+    return sums.select("bucket", F.concat_ws(",", *(F.col(c).cast("string") for c in sums.columns[1:])).alias("digest"))
+
+
+def diff_by_digests(old: DataFrame, new: DataFrame, old_digests: DataFrame, new_digests: DataFrame, keys: list[str], buckets: int, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """As snapshot_diff, but rows of buckets with equal digests are not shuffled: they are unchanged. digests: stored ones, of
+    the same columns and number of buckets, a row a bucket; the changed ones are listed on the driver."""
+    both = old_digests.withColumnRenamed("digest", "was").join(new_digests.withColumnRenamed("digest", "now"), "bucket", "full")
+    changed = [r["bucket"] for r in both.where(~F.col("was").eqNullSafe(F.col("now"))).select("bucket").collect()]
+    moved = key_bucket(keys, buckets).isin(changed) if changed else F.lit(False)
+    still = new.where(~moved).select(*keys, F.lit("unchanged").alias("change"))
+    return still.unionByName(snapshot_diff(old.where(moved), new.where(moved), keys, exclude)) if changed else still
+
+
 def run_tally(log: DataFrame) -> DataFrame:
     return log.groupBy("status").agg(F.count("*").alias("n"))

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators import clean, dedupe, enrich, gold, incremental, quality, reshape, stats
+from strata.operators import clean, dedupe, enrich, gold, incremental, partials, quality, reshape, stats
 from strata.plans import fixtures as fx
 from strata.plans import pipelines as pl
 from strata.plans.fixtures import AS_OF, RUN_TS, fixture, table
 from strata.plans.oracles import ORACLE
 from strata.sources import readers, sinks
+from strata.sources.registry import SchemaRegistry
 from strata.spec import AS_OF_STATS, BAR_FIELDS, DAILY, DAILY_SERIES, ITEMS_SCHEMA, OVERVIEW_DEFAULTS, OVERVIEW_NAMES, OVERVIEW_SCHEMA, PRICES, STATE_SCHEMA, TRENDING_SCHEMA, WEEKLY, WEEKLY_SERIES, BarSpec, overview_types, series_schema
 from strata.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-CUT = "2000-12-31"
+CUT, TRADES_AS_OF = "2000-12-31", "1998-06-15"
 MARKS = {"1-URGENT": "2001-01-01", "2-HIGH": "1999-06-30", "3-MEDIUM": "2001-07-20", "4-NOT SPECIFIED": "1995-01-01"}
 
 
@@ -67,13 +70,36 @@ def nested(rows: DataFrame, day: str, series: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.map_from_entries(F.collect_list(entry)).alias(series)).select(F.struct(F.col("symbol").alias("2. Symbol"), F.lit("2001-08-01").alias("3. Last Refreshed")).alias("Meta Data"), series)
 
 
+def raw_series(spark: SparkSession, d: str, which: str = "true", error: str | None = None) -> DataFrame:
+    """Dirty bars as JSON text of several lines, as the web service gives it (key, value); with error, a message per symbol
+    besides. A document names a day once, so rows whose symbol or day is spoilt have documents of their own."""
+    rows = dup(spark, d).where(which)
+    alone = F.when(F.col("symbol").contains("n/a") | (F.col("day_date") == "not-a-date"), F.col("row_id")).otherwise(-1)
+    day = F.struct("day_date", F.struct(*(F.col(n).alias(f) for f, n in BAR_FIELDS.items())))
+    docs = rows.groupBy("symbol", "last_refreshed", "src", alone.alias("alone")).agg(F.map_from_entries(F.collect_list(day)).alias(DAILY_SERIES))
+    meta = F.struct(F.col("symbol").alias("2. Symbol"), F.col("last_refreshed").alias("3. Last Refreshed")).alias("Meta Data")
+    docs = docs.select(F.concat_ws("-", "symbol", "last_refreshed", "src", "alone").alias("key"), F.to_json(F.struct(meta, DAILY_SERIES), {"pretty": "true"}).alias("value"))
+    if error is None:
+        return docs
+    text = F.to_json(F.struct(F.lit(error).alias("Note")), {"pretty": "true"})
+    return docs.unionAll(rows.select(F.concat(F.lit("error-"), "symbol").alias("key")).distinct().select("key", text.alias("value")))
+
+
+def multi_line_json(df: DataFrame, path: str, per: int) -> None:
+    """df as JSON files of many lines: each an array of about `per` records, however many there are."""
+    pages = max(1, -(-df.count() // per))
+    page = F.pmod(F.monotonically_increasing_id(), F.lit(pages)).alias("page")
+    arrays = df.select(page, F.struct(*(f"`{c}`" for c in df.columns)).alias("record")).groupBy("page").agg(F.collect_list("record").alias("records"))
+    arrays.select(F.to_json("records", {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def series_documents(spark: SparkSession, d: str, rows: DataFrame, spec: BarSpec) -> DataFrame:
     path = sinks.scratch(spark)
-    nested(rows, spec.date, spec.series).write.json(path)
-    return readers.read_json(spark, path, series_schema(spec.series), multi_line=False)
+    multi_line_json(nested(rows, spec.date, spec.series), path, 2)
+    return readers.read_json(spark, path, series_schema(spec.series), "*.txt", multi_line=True)
 
 
-#: Items of a search result, about: results come in pages, so that none grows with its language.
+#: Items of a search result, or records of a file, about: results come in pages, so that none grows with its language.
 PAGE = 500
 
 
@@ -113,8 +139,8 @@ def scan_json_series_weekly(spark: SparkSession, d: str) -> DataFrame:
 @query
 def scan_json_record(spark: SparkSession, d: str) -> DataFrame:
     path = sinks.scratch(spark)
-    fixture(spark, d, fx.OVERVIEW_WIDE).drop("row_id").write.json(path)
-    return readers.read_json(spark, path, OVERVIEW_SCHEMA, multi_line=False).select("Symbol", "Country", "Sector", "CIK", "BookValue", "MarketCapitalization", "DividendDate")
+    multi_line_json(fixture(spark, d, fx.OVERVIEW_WIDE).drop("row_id"), path, PAGE)
+    return readers.read_json(spark, path, OVERVIEW_SCHEMA, "*.txt", multi_line=True).select("Symbol", "Country", "Sector", "CIK", "BookValue", "MarketCapitalization", "DividendDate")
 
 
 @query
@@ -129,16 +155,52 @@ def scan_csv_typed(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_csv(spark, path, TRENDING_SCHEMA).select("video_id", "channel_title", "views", "tags", "comments_disabled")
 
 
+def spoilt_csv(spark: SparkSession, d: str) -> tuple[str, T.StructType]:
+    """Documents as CSV, every tenth row with a word for a number, and the schema that they should have."""
+    path = sinks.scratch(spark)
+    table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "many").otherwise(F.col("n_chars").cast("string")).alias("n_chars")).write.option("header", True).csv(path)
+    return path, T.StructType.fromDDL("doc_id bigint, n_chars bigint")
+
+
 @query
 def scan_csv_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth row has a word for a number."""
-    path, schema = sinks.scratch(spark), T.StructType.fromDDL("doc_id bigint, n_chars bigint")
-    table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "many").otherwise(F.col("n_chars").cast("string")).alias("n_chars")).write.option("header", True).csv(path)
+    """The spoilt rows are kept apart, left out, or fail the read."""
+    path, schema = spoilt_csv(spark, d)
     good, bad = readers.split_corrupt(stored(spark, readers.read_csv(spark, path, schema, corrupt=True)))
     dropped = readers.read_csv(spark, path, schema, mode="DROPMALFORMED").select("doc_id", F.col("n_chars").alias("n"))
     kept = good.select(F.lit("PERMISSIVE").alias("read_mode"), F.lit(1).alias("g"), F.lit(0).alias("c")).unionAll(bad.select(F.lit("PERMISSIVE"), F.lit(0), F.lit(1)))
     rows = kept.unionAll(dropped.where("n is not null").select(F.lit("DROPMALFORMED"), F.lit(1), F.lit(0)))
-    return rows.groupBy("read_mode").agg(F.sum("g").alias("good"), F.sum("c").alias("corrupt"))
+    try:
+        stored(spark, readers.read_csv(spark, path, schema, mode="FAILFAST"))
+        error = None
+    except (PySparkException, Py4JJavaError) as e:
+        error = "MALFORMED" if "MALFORMED" in str(e).upper() else "other"
+    counts = rows.groupBy("read_mode").agg(F.sum("g").alias("good"), F.sum("c").alias("corrupt")).withColumn("error", F.lit(None).cast("string"))
+    return counts.unionByName(spark.createDataFrame([("FAILFAST", None, None, error)], counts.schema))
+
+
+@query
+def scan_csv_located(spark: SparkSession, d: str) -> DataFrame:
+    """Malformed rows in the quarantine, with their texts and places; the places are found again in the files."""
+    path, schema = spoilt_csv(spark, d)
+    _, rejected = readers.read_csv_located(spark, path, schema)
+    sinks.write_quarantine(rejected.withColumn("validation_reason", F.lit("Malformed row")), f"{path}-quarantine", "b1")
+    kept = spark.read.parquet(f"{path}-quarantine").select("value", "file", "part_start", "validation_reason")
+    there = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).distinct()
+    return kept.join(there, (kept.value == there.line) & (kept.file == there.file), "left_semi").select("value", "validation_reason", (F.col("part_start") >= 0).alias("placed"))
+
+
+@query
+def schema_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Files of two versions of a schema, the later of which has wider and more columns, as one table."""
+    path, docs = sinks.scratch(spark), table(spark, d, "documents")
+    registry = SchemaRegistry(spark, f"{path}/schemas")
+    parts = {"doc_id int, n_chars int": docs.where("doc_id % 2 = 0"), "doc_id bigint, n_chars double, lang string": docs.where("doc_id % 2 <> 0")}
+    for ddl, rows in parts.items():
+        schema = T.StructType.fromDDL(ddl)
+        n = registry.register("documents", schema)
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.json(f"{path}/version={n}")
+    return registry.read("documents", lambda n: f"{path}/version={n}", lambda p, schema: readers.read_json(spark, p, schema, multi_line=False))
 
 
 @query
@@ -449,6 +511,23 @@ def running_high_low(spark: SparkSession, d: str) -> DataFrame:
     return stats.running_extremes(bars(spark, d), ["symbol"], "day_date").select("symbol", "day_date", "running_high", "running_low")
 
 
+TRAILING = ["rolling_avg_open", "rolling_avg_close", "rolling_high", "rolling_low", "running_high", "running_low"]
+
+
+@query
+def trailing_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling and running statistics of trades, of which many fall on a day and a third on one symbol, by way of its days."""
+    return pl.trailing_stats(fixture(spark, d, fx.TRADES), ["symbol"], "day_date").select("l_orderkey", "l_linenumber", *TRAILING)
+
+
+@query
+def trades_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """As-of statistics of each symbol's trades, from blocks of its months and the trades of two months."""
+    rows = fixture(spark, d, fx.TRADES)
+    days = rows.where(partials.cut_months("day_date", TRADES_AS_OF))
+    return partials.as_of_summary(partials.blocks(rows, ["symbol"], "day_date"), days, ["symbol"], "day_date", TRADES_AS_OF)
+
+
 @query
 def gold_join(spark: SparkSession, d: str) -> DataFrame:
     return gold.enrich_left(bars(spark, d), latest_overview(spark, d))
@@ -522,26 +601,59 @@ def state_latest(spark: SparkSession, d: str) -> DataFrame:
     return incremental.latest_state(state).select("watermark_key", "watermark_value", "batch_id")
 
 
+def loaded(spark: SparkSession, d: str, *loads: tuple[str, str, int]) -> pl.Run:
+    """A lake after these loads of (batch, rows, lateness); rows are a condition on the dirty bars, of which none is thought early
+    that has no date."""
+    run = pl.Run(spark, sinks.scratch(spark), "", RUN_TS, AS_OF)
+    rows = stored(spark, dup(spark, d))
+    for batch, which, lateness in loads:
+        run.batch_id = batch
+        run.daily(rows.where(which), lateness, ("row_id", "src"))
+    return run
+
+
+EARLY, LATE = f"day_date <= '{CUT}'", f"coalesce(day_date > '{CUT}', true)"
+
+
 @query
 def incremental_load(spark: SparkSession, d: str) -> DataFrame:
-    """Two loads, split by date, then a third of rows already loaded: silver as it stands."""
-    run = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF)
-    rows = stored(spark, dup(spark, d))
-    early = F.col("day_date") <= CUT
-    for n, part in enumerate((rows.where(early), rows.where(~early | early.isNull()), rows), 1):
-        run.batch_id = f"batch-{n}"
-        run.daily(part, order=("row_id", "src"))
-    return run.silver()
+    """Two loads, split by date, a third of rows already loaded; then each again: alike, late rows read again, and with more rows."""
+    loads = [("batch-1", EARLY, 0), ("batch-2", LATE, 0), ("batch-3", "true", 0), ("batch-2", LATE, 0), ("batch-2", LATE, 5), ("batch-1", EARLY, 0), ("batch-2", "true", 0)]
+    return loaded(spark, d, *loads).silver()
+
+
+@query
+def silver_from_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics from the blocks of four loads, the last of which reads days again that others have loaded."""
+    loads = [("batch-1", "day_date <= '1997-06-15'", 0), ("batch-2", EARLY, 0), ("batch-3", LATE, 0), ("batch-2", EARLY, 0), ("batch-4", "true", 400)]
+    return loaded(spark, d, *loads).silver("blocks")
 
 
 @query
 def skip_empty_load(spark: SparkSession, d: str) -> DataFrame:
-    """The log of a load and of one more of the same rows, of which none is past its mark."""
-    run, rows = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF), stored(spark, dup(spark, d))
-    for n in (1, 2):
-        run.batch_id = f"batch-{n}"
-        run.daily(rows, order=("row_id", "src"))
-    return spark.read.parquet(f"{run.root}/run_log").drop("dataset", "run")
+    """The log of a load and of one more of the same rows, of which none is past its mark; either is repeated."""
+    return loaded(spark, d, ("batch-1", "true", 0), ("batch-2", "true", 0), ("batch-1", "true", 0), ("batch-2", "true", 0)).log()
+
+
+@query
+def load_log(spark: SparkSession, d: str) -> DataFrame:
+    """Documents land twice; each landing is loaded, the second load is repeated, a third finds no file that isn't read. The
+    last row counts the error documents that were kept apart."""
+    run = landed_load(spark, d)
+    errors = run.rejected_documents().groupBy("error").agg(F.count("*").alias("n_rows")).withColumnRenamed("error", "batch_id")
+    return run.log().select("batch_id", "n_rows", "n_valid", "n_invalid", "n_written", "skipped").unionByName(errors, allowMissingColumns=True)
+
+
+def landed_load(spark: SparkSession, d: str) -> pl.Run:
+    """A lake loaded from landed documents, as load_log says."""
+    run = pl.Run(spark, sinks.scratch(spark), "", RUN_TS, AS_OF)
+    landing = f"{run.root}/landing"
+    for batch, rows, errors in (("batch-1", EARLY, None), ("batch-2", LATE, "rate limit"), ("batch-2", None, None), ("batch-3", None, None)):
+        run.batch_id = batch
+        if rows:
+            sinks.land(raw_series(spark, d, rows, errors), landing, "daily", batch)
+        run.daily_files(landing)
+    return run
 
 
 @query
@@ -565,9 +677,24 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.snapshot_diff(c.where("c_custkey % 7 <> 0"), new, ["c_custkey"])
 
 
+BUCKETS = 64
+
+
+@query
+def diff_by_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Some customers are new, gone or changed; the key buckets of the others aren't joined."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    old = stored(spark, c.where("c_custkey % 500 <> 7"))
+    new = stored(spark, c.where("c_custkey % 500 <> 11").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 400 != 5, F.col("c_mktsegment"))))
+    was, now = (stored(spark, incremental.bucket_digests(x, ["c_custkey"], BUCKETS)) for x in (old, new))
+    return incremental.diff_by_digests(old, new, was, now, ["c_custkey"], BUCKETS)
+
+
 @query
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF).daily(dup(spark, d), order=("row_id", "src"))
+    """The metrics that a repeated load returns."""
+    run = loaded(spark, d, ("batch-1", "true", 0))
+    return run.daily(dup(spark, d), order=("row_id", "src"))
 
 
 # Streams
@@ -605,6 +732,58 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return streams.newest(spark.read.parquet(f"{path}/out"), ["symbol", "bar_start"])
 
 
+@query
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """As stream_silver, into a table keyed by symbol and date whose monthly buckets are rewritten; readers need no deduplication."""
+    path, order = sinks.scratch(spark), ["row_id", "src"]
+    rows = dup(spark, d)
+    rows.repartition(3, "row_id").write.parquet(f"{path}/in")
+    shaped = pl.silver_rows(pl.typed_bars(rows), DAILY, order, RUN_TS)
+    target = streams.KeyedTable(f"{path}/out", shaped.schema, ["symbol", "day_date"], [F.col(c) for c in order], F.date_format("day_date", "yyyy-MM"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.stream_apply(source, lambda df: pl.silver_rows(pl.typed_bars(df), DAILY, order, RUN_TS), target.upsert, f"{path}/checkpoint")
+    return stats.as_of_stats(target.read(spark), ["symbol"], "day_date", AS_OF).select(*DAILY.columns)
+
+
+def live_ticks(spark: SparkSession, d: str) -> str:
+    """Where events went that came in three slices of time, a run each, some of the first with the last."""
+    path, events = sinks.scratch(spark), table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    held = (F.col("event_id") % 50 == 0) & (F.col("ts") < "2024-01-11")
+    slices = (~held & (F.col("ts") < "2024-01-11"), (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-21"), held | (F.col("ts") >= "2024-01-21"))
+    for part in slices:
+        events.where(part).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        streams.stream_apply(source, lambda df: df, streams.ticks_sink(f"{path}/out", "ts", "event_type", "value", "event_id"), f"{path}/checkpoint")
+    return f"{path}/out"
+
+
+BAR = ["symbol", "bar_start", "open", "high", "low", "close", "volume"]
+
+
+def plain_bars(partial: DataFrame) -> DataFrame:
+    return partial.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")).select(*BAR)
+
+
+@query
+def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of the ticks that were on time."""
+    return plain_bars(streams.roll_up(spark.read.parquet(f"{live_ticks(spark, d)}/bars"), "1 hour"))
+
+
+@query
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks that were too late for their bars, as they came."""
+    return spark.read.parquet(f"{live_ticks(spark, d)}/late").select("event_id", "event_type")
+
+
+@query
+def stream_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars rolled up from hourly ones, to which the late ticks' have been added: those of all ticks."""
+    path = live_ticks(spark, d)
+    late = streams.tick_partials(spark.read.parquet(f"{path}/late"), "ts", "event_type", "value", "event_id")
+    return plain_bars(streams.roll_up(spark.read.parquet(f"{path}/bars").drop("batch").unionByName(late.drop("batch")), "1 day"))
+
+
 def in_slices(spark: SparkSession, df: DataFrame, path: str, run: Callable[[DataFrame], None], n: int = 3) -> None:
     """df (with a column ts) comes in n slices that follow each other in time, as live events do; after each, the stream runs."""
     low, high = df.agg(F.min("ts"), F.max("ts")).first()
@@ -639,7 +818,12 @@ def silver_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def silver_daily(spark: SparkSession, d: str) -> DataFrame:
-    return silver(spark, d)
+    """From landed documents: guarded, parsed, exploded, cut by date, projected, cleaned, typed, checked, deduplicated, rounded,
+    enriched, with statistics."""
+    path = sinks.scratch(spark)
+    sinks.land(raw_series(spark, d, error="rate limit"), path, "daily", "2001-08-02")
+    data, _ = readers.split_error_payloads(readers.read_landed(spark, path))
+    return pl.silver_documents(readers.parse_documents(data, series_schema(DAILY_SERIES)), DAILY, AS_OF, RUN_TS, after="1900-01-01")
 
 
 @query
@@ -671,12 +855,9 @@ def silver_trending(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def medallion_run(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze to gold: bars in two loads, the second again under its own name, the overview twice without change; gold over all."""
-    run = pl.Run(spark, sinks.scratch(spark), "batch-1", RUN_TS, AS_OF)
-    rows, early = stored(spark, dup(spark, d)), F.col("day_date") <= CUT
-    for batch, part in (("batch-1", rows.where(early)), ("batch-2", rows.where(~early | early.isNull())), ("batch-2", rows.where(~early | early.isNull()))):
-        run.batch_id = batch
-        run.daily(part, order=("row_id", "src"))
+    """Landed documents to gold: two loads, one of them repeated, and one that finds nothing new; the overview twice without
+    change; gold over all, from blocks."""
+    run = landed_load(spark, d)
     snap = dedupe.latest(fixture(spark, d, fx.OVERVIEW_SNAP), ["Symbol"], ["LatestQuarter", "snapshot_id"])
     records = snap.select(*(F.col(f"`{n}`") if n in snap.columns else F.lit(None).cast("string").alias(n) for n in OVERVIEW_NAMES))
     for n in (1, 2):

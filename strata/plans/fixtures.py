@@ -21,6 +21,9 @@ DIRTY_BARS = """select k as row_id, case when k % 101 = 0 then ' n/a ' else conc
  case when k % 107 = 0 then 'NULL' else '2001-08-01' end last_refreshed
  from (select o_orderpriority symbol, {day} d, {first}(o_totalprice, o_orderkey) op, max(o_totalprice) hi, min(o_totalprice) lo,
   {last}(o_totalprice, o_orderkey) cl, count(*) vol, min(o_orderkey) k from orders group by 1, 2)"""
+# Trades: as many symbols as there are parts, besides one that has a third of all rows.
+TRADES = """select l_orderkey, l_linenumber, case when l_orderkey % 3 = 0 then 'HOT' else concat('P', cast(l_partkey as {text})) end symbol, cast(l_shipdate as date) day_date,
+ l_extendedprice open, l_extendedprice high, l_extendedprice * (1 - l_discount) low, l_extendedprice * (1 + l_tax) close from lineitem"""
 OVERVIEW_WIDE = """select c_custkey row_id, concat(' ', lower(c_name), ' ') "Symbol", case when c_custkey % 7 = 0 then ' N/A ' else n_name end "Country",
  case when c_custkey % 11 = 0 then 'None' else c_mktsegment end "Sector", cast(c_custkey as {text}) "CIK",
  case when c_custkey % 13 = 0 then '-' else cast(cast(c_acctbal as decimal(18,2)) as {text}) end "BookValue",
@@ -42,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     """A recipe over the tables it names."""
-    text, names = sql(template, SPARK), [n for n in ("orders", "customer", "nation") if f"from {n}" in template or f"join {n}" in template]
+    text, names = sql(template, SPARK), [n for n in ("orders", "customer", "nation", "lineitem") if f"from {n}" in template or f"join {n}" in template]
     for n in names:
         text = text.replace(f"from {n}", f"from {{{n}}}").replace(f"join {n}", f"join {{{n}}}")
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})

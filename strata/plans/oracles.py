@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans.fixtures import AS_OF, BARS, DIRTY_BARS, DUCKDB, OVERVIEW_SNAP, OVERVIEW_WIDE, RUN_TS, WEEKLY_BARS, sql
+from strata.plans.fixtures import AS_OF, BARS, DIRTY_BARS, DUCKDB, OVERVIEW_SNAP, OVERVIEW_WIDE, RUN_TS, TRADES, WEEKLY_BARS, sql
 from strata.spec import OVERVIEW_DEFAULTS, OVERVIEW_NAMES, OVERVIEW_STRINGS, PRICES, overview_types
 
 STAMP = f"timestamp '{RUN_TS}' processed_at"
@@ -46,7 +46,7 @@ def stats(over: str) -> str:
 
 PX = "open, high, low, close, cast(volume as bigint) volume"
 CTE = {
-    "bars": sql(BARS, DUCKDB), "weekly_bars": sql(WEEKLY_BARS, DUCKDB), "dirty": sql(DIRTY_BARS, DUCKDB), "wide": sql(OVERVIEW_WIDE, DUCKDB), "snap": sql(OVERVIEW_SNAP, DUCKDB),
+    "bars": sql(BARS, DUCKDB), "weekly_bars": sql(WEEKLY_BARS, DUCKDB), "dirty": sql(DIRTY_BARS, DUCKDB), "wide": sql(OVERVIEW_WIDE, DUCKDB), "snap": sql(OVERVIEW_SNAP, DUCKDB), "trades": sql(TRADES, DUCKDB),
     "dup": "select *, 0 src from dirty union all select *, 1 src from dirty where row_id % 10 = 0",
     "typed": f"select row_id, src, {nt('upper(symbol)')} symbol, {day(nt('day_date'))} day_date, {day(nt('last_refreshed'))} last_refreshed, "
     + ", ".join(f"try_cast({nt(p)} as double) {p}" for p in PRICES) + f", try_cast({nt('volume')} as bigint) volume from dup",
@@ -86,6 +86,7 @@ def wide_columns() -> str:
 
 STAMPED = f"cast(2001 as int) as year, cast(8 as int) as month, cast(2 as int) as day, {STAMP}"
 TICKS = "select event_type symbol, date_trunc('day', ts) bar_start, arg_min(value, event_id) open, max(value) high, min(value) low, arg_max(value, event_id) \"close\", count(*) volume from events group by 1, 2"
+HELD, SINCE = "event_id % 50 = 0 and ts < timestamp '2024-01-11'", "day_date >= date '1998-06-15' - {}"
 BAR_HASH = "sha256(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), chr(92) || 'N')" for c in ("day_date", "symbol", "volume")) + "))"
 SUMS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint)::varchar" for i in range(4))
 CONTENT = f"h as (select {BAR_HASH} h from bars), c as (select sha256(concat_ws(',', count(*)::varchar, {SUMS})) content_hash from h)"
@@ -100,7 +101,10 @@ ORACLE = {
     "scan_json_record": q('select "Symbol", "Country", "Sector", "CIK", "BookValue", "MarketCapitalization", "DividendDate" from wide', "wide"),
     "scan_json_items": "select lang \"regionCode\", count(*) n_items from documents group by 1",
     "scan_csv_typed": "select cast(doc_id as varchar) video_id, lang channel_title, n_chars views, source tags, false comments_disabled from documents",
-    "scan_csv_modes": "select 'DROPMALFORMED' read_mode, count(*) good, cast(0 as bigint) corrupt from documents where doc_id % 10 <> 0 union all select 'PERMISSIVE', count(*) filter (doc_id % 10 <> 0), count(*) filter (doc_id % 10 = 0) from documents",
+    "scan_csv_modes": "select 'DROPMALFORMED' read_mode, count(*) good, cast(0 as bigint) corrupt, cast(null as varchar) error from documents where doc_id % 10 <> 0 union all select 'PERMISSIVE', count(*) filter (doc_id % 10 <> 0), count(*) filter (doc_id % 10 = 0), null from documents "
+    "union all select 'FAILFAST', null, null, 'MALFORMED'",
+    "scan_csv_located": "select doc_id || ',many' as value, 'Malformed row' validation_reason, true placed from documents where doc_id % 10 = 0",
+    "schema_registry": "select doc_id, n_chars::double n_chars, case when doc_id % 2 <> 0 then lang end lang from documents",
     "scan_silver_parquet": q(f"select symbol, day_date, close from bars where day_date > {CUT}", "bars"),
     "scan_silver_csv": q("select * from silver", *SILVER), "scan_overview_csv": q("select * from last_over", *OVER, "last_over"),
     "read_or_empty": q("select symbol, cast(count(*) as bigint) n from bars group by 1", "bars"),
@@ -144,6 +148,12 @@ ORACLE = {
     "rolling_avg_30d": q(f"select {OPEN_CLOSE}, {rnd('avg(open) over w')} rolling_avg_open, {rnd('avg(close) over w')} rolling_avg_close from bars window w as (partition by symbol order by day_date range between interval 29 days preceding and current row)", "bars"),
     "rolling_high_low_52w": q(f"select {OPEN_CLOSE}, {rnd('max(high) over w')} rolling_high, {rnd('min(low) over w')} rolling_low from bars window w as (partition by symbol order by day_date range between interval 364 days preceding and current row)", "bars"),
     "running_high_low": q(f"select {OPEN_CLOSE}, {rnd('max(high) over w')} running_high, {rnd('min(low) over w')} running_low from bars window w as (partition by symbol order by day_date range between unbounded preceding and current row)", "bars"),
+    "trailing_trades": q(f"select l_orderkey, l_linenumber, {rnd('avg(open) over m')} rolling_avg_open, {rnd('avg(close) over m')} rolling_avg_close, {rnd('max(high) over y')} rolling_high, {rnd('min(low) over y')} rolling_low, {rnd('max(high) over e')} running_high, {rnd('min(low) over e')} running_low from trades "
+    "window m as (partition by symbol order by day_date range between interval 29 days preceding and current row), y as (partition by symbol order by day_date range between interval 364 days preceding and current row), e as (partition by symbol order by day_date range between unbounded preceding and current row)", "trades"),
+    "trades_as_of": q("select symbol, " + ", ".join(f"{rnd(x)} {n}" for n, x in (("thirty_day_avg_open", f"avg(open) filter ({SINCE.format(30)})"), ("thirty_day_avg_close", f"avg(close) filter ({SINCE.format(30)})"), ("fifty_two_week_high", f"max(high) filter ({SINCE.format(365)})"),
+        ("fifty_two_week_low", f"min(low) filter ({SINCE.format(365)})"), ("all_time_high", "max(high)"), ("all_time_low", "min(low)"))) + " from trades group by 1", "trades"),
+    "diff_by_digests": "select coalesce(o.c_custkey, n.c_custkey) c_custkey, case when o.c_custkey is null then 'new' when n.c_custkey is null then 'removed' when o.c_mktsegment is not distinct from n.c_mktsegment and o.c_name is not distinct from n.c_name then 'unchanged' else 'changed' end change "
+    "from (select * from customer where c_custkey % 500 <> 7) o full join (select c_custkey, c_name, case when c_custkey % 400 <> 5 then c_mktsegment end c_mktsegment from customer where c_custkey % 500 <> 11) n on o.c_custkey = n.c_custkey",
     "gold_join": q("select bars.*, snapshot_id, country, latest_quarter, fifty_two_week_high, analyst_rating_buy from bars left join last_over using (symbol)", "bars", *OVER, "last_over"),
     "incremental_stats": q(f"select {OPEN_CLOSE}, {stats('over (partition by symbol)')} from bars qualify day_date > {CUT}", "bars"),
     "gold_unmatched": q("select symbol, day_date from bars where symbol not in (select symbol from last_over)", "bars", *OVER, "last_over"),
@@ -160,7 +170,12 @@ ORACLE = {
     "run_metrics": q("select 'batch-1' batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, (select count(*) from one) n_written, cast(null as date) old_mark, (select max(day_date) from one) new_mark, false skipped from tagged", *TAGGED, "one"),
     "skip_empty_load": q("select 'batch-' || b batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, case b when 1 then (select count(*) from one) else 0 end n_written, "
     "case b when 2 then (select max(day_date) from one) end old_mark, (select max(day_date) from one) new_mark, b = 2 skipped from tagged, (select unnest([1, 2]) b) group by b", *TAGGED, "one"),
+    "silver_from_blocks": q("select * from silver", *SILVER),
+    "load_log": q(f"select batch_id, count(*) n_rows, count(*) filter (validation_reason is null) n_valid, count(*) filter (validation_reason is not null) n_invalid, case batch_id when 'batch-1' then (select count(*) from one where day_date <= {CUT}) "
+    f"else (select count(*) from one where day_date > {CUT}) end n_written, false skipped from (select t.*, case when d.day_date <= '2000-12-31' then 'batch-1' else 'batch-2' end batch_id from tagged t join dirty d using (row_id)) group by batch_id "
+    "union all select 'batch-3', 0, 0, 0, 0, true union all select 'rate limit', count(distinct symbol), null, null, null, null from dirty where not day_date <= '2000-12-31'", *TAGGED, "one"),
     "stream_silver": q("select * from silver", *SILVER), "tick_bars": TICKS, "stream_bars": TICKS,
+    "stream_upsert": q("select * from silver", *SILVER), "stream_hourly": TICKS.replace("'day'", "'hour'").replace("from events", f"from events where not ({HELD})"), "stream_late": f"select event_id, event_type from events where {HELD}", "stream_daily": TICKS,
     "stream_dedupe": "select event_id, event_type, user_id from events",
     "silver_weekly": q(f"select symbol, week_date, {', '.join(f'{rnd(p)} {p}' for p in PRICES)}, volume, {CHANGE.format(p='weekly')}, {MOVE}, {calendar('week_date', 'year', 'month', 'week_number')}, date '2001-08-01' last_refreshed_date, 'VALID' validation_status, cast(null as varchar) validation_reason, {STAMP} from weekly_bars", "weekly_bars"),
     "silver_daily": q("select * from silver", *SILVER),

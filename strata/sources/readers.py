@@ -48,6 +48,15 @@ def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema: T.
         return spark.createDataFrame([], schema)
 
 
+def read_csv_located(spark: SparkSession, path: str, schema: T.StructType, **options) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) of a PERMISSIVE read: rejected has what could be read of each malformed row, its text (value), its file,
+    and at which byte of the file the part begins that a task read it from. Write rejected with its columns before asking
+    for the text alone: Spark doesn't parse rows for it only."""
+    rows = read_csv(spark, path, schema, corrupt=True, **options)
+    bad = rows.select(*schema.names, F.col(CORRUPT).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part_start"))
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad.where("value is not null")
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of a PERMISSIVE read with the corrupt column; bad is the texts alone."""
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
@@ -64,6 +73,19 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("dataset_name").alias("dataset"), "run_date", "key", "value")
 
 
+def new_files(spark: SparkSession, path: str, read: DataFrame, glob: str = "*.parquet") -> DataFrame:
+    """path, modified and bytes of the files under path that aren't in read, or were written again since. Contents aren't read."""
+    listing = read_or_empty(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path), T.StructType.fromDDL("path string, modificationTime timestamp, length long"))
+    return listing.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")).join(read, ["path", "modified", "bytes"], "left_anti")
+
+
+def read_landed_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """As read_landed, of these files under path alone."""
+    schema = "key string, value string, dataset_name string, dataset string, run_date string"
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*files) if files else spark.createDataFrame([], schema)
+    return rows.select(F.col("dataset_name").alias("dataset"), "run_date", "key", "value")
+
+
 def split_error_payloads(documents: DataFrame, keys: tuple[str, ...] = ERROR_KEYS) -> tuple[DataFrame, DataFrame]:
     """(data, errors) of raw documents with a column value: an error has one of the keys at its top; errors get `error`."""
     error = F.coalesce(*(F.get_json_object("value", f"$['{k}']") for k in keys))

@@ -56,7 +56,7 @@ def series_schema(series: str) -> T.StructType:
     return struct(**{"Meta Data": struct("2. Symbol", "3. Last Refreshed"), series: T.MapType(T.StringType(), struct(*BAR_FIELDS))})
 
 
-TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
 
 
 def struct(*names: str, **kinds: str | T.DataType) -> T.StructType:
@@ -124,5 +124,5 @@ GOLD_BARS = ["symbol", "day_date", *PRICES, "volume", "daily_change", "daily_cha
 
 STATE_SCHEMA = struct(
     pipeline_name="string", dataset_name="string", watermark_column="string", watermark_key="string", watermark_value="string", last_processed_at="timestamp", batch_id="string", status="string",
-    updated_at="timestamp", updated_by="string", remarks="string", content_hash="string",
+    updated_at="timestamp", content_hash="string",
 )

@@ -219,10 +219,10 @@ def test_slices_equal_full_load(spark, tmp_path):
         for n, (lo, hi) in enumerate(zip(("", *cuts), (*cuts, "9"), strict=True)):
             run.batch_id = f"b{n}"
             run.daily(rows.where((F.col("day_date") > lo) & (F.col("day_date") <= hi)))
-        before = spark.read.parquet(f"{run.root}/silver/daily").count()
+        before = run.bars().count()
         run.batch_id = "again"
         assert run.daily(rows).first().n_written == 0
-        out = spark.read.parquet(f"{run.root}/silver/daily").drop("batch_id")
+        out = run.bars()
         assert out.count() == before
         return out, run
 
@@ -260,8 +260,8 @@ def test_gold_has_current_statistics(spark, tmp_path):
     for batch, part in (("b1", rows.where("day_date < '2001-01-05'")), ("b2", rows), ("b3", rows)):
         run.batch_id = batch
         last = run.daily(part).first()
-    assert last.skipped and (last.n_written, str(last.old_mark)) == (0, "2001-01-08") and not (tmp_path / "silver/daily/batch_id=b3").exists()
-    for strategy in ("window", "agg"):
+    assert last.skipped and (last.n_written, str(last.old_mark)) == (0, "2001-01-08") and not (tmp_path / "silver/daily/batch=b3").exists()
+    for strategy in ("window", "agg", "blocks"):
         got = run.silver(strategy).collect()
         assert len(got) == 8 and {(r.all_time_high, r.all_time_low) for r in got} == {(97.0, 1.0)} and None not in {r.thirty_day_avg_open for r in got}
 
