@@ -1,17 +1,18 @@
 """Licence scans with a positional index of rare words.
 
-Licence texts and notices are templates with mandatory key phrases. The index lists where each template word stands in
-each template. A file is looked up, for each template, by the words of highest IDF that it shares with it (document
-frequencies are counted over all documents): each occurrence of such a word and each of its postings propose a place of the
-template in the file. Proposals of several words are intersected by relative position: a place stays if at least half of
-these words propose one within the template's slack of it. There all key phrases must stand, word for word, each within the
-slack of its own place.
+Licence texts and notices are templates with mandatory key phrases. The index maps each template word to the templates and
+places where it stands. A file is looked up by its own words, those of highest IDF first (document frequencies are counted
+over all documents): a key phrase's rarest word brings its template in, and for each template so found the rarest LOOK words
+that the file shares with it are followed. Each occurrence of such a word and each of its postings propose a place of the
+template in the file; proposals are intersected by relative position, so that places stay for which at least half of these
+words propose one within the template's slack. There all key phrases must stand, word for word, each within the slack of its
+own place.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,8 +23,10 @@ from strata.llm.common import map_rows, texts
 
 # Lower-cases A-Z and turns every byte outside the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F] into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Rare words of a file by which a template is looked up.
+#: Rare words of a file that are followed for a template; of a base phrase all are.
 LOOK = 6
+#: A match of so many words found is worth half of one without end.
+EVIDENCE = 10
 
 
 @dataclass(frozen=True)
@@ -110,7 +113,7 @@ def split_words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Of each template: word -> its positions, and the position of each key phrase."""
+    """word -> template -> its places there; of each template the place of each key phrase."""
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float] = field(default_factory=dict)
@@ -120,69 +123,98 @@ class Index:
         self.slack = [t.slack(len(w)) for t, w in zip(self.templates, self.words, strict=True)]
         self.keys = [[tuple(split_words(k)) for k in t.keys] for t in self.templates]
         self.at = [[next(i for i in range(len(w)) if tuple(w[i : i + len(k)]) == k) for k in ks] for w, ks in zip(self.words, self.keys, strict=True)]
-        self.postings: list[dict[bytes, list[int]]] = []
-        for w in self.words:
-            own: dict[bytes, list[int]] = {}
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
+        for t, w in enumerate(self.words):
             for q, x in enumerate(w):
-                own.setdefault(x, []).append(q)
-            self.postings.append(own)
-        self.vocabulary = frozenset(x for own in self.postings for x in own)
-        self.by_idf = [sorted(own, key=lambda x: (-self.rarity(x), x)) for own in self.postings]
-        # a key phrase is looked up by its rarest word
+                self.postings.setdefault(x, {}).setdefault(t, []).append(q)
+        self.vocabulary = frozenset(self.postings)
+        # a key phrase is looked up by its rarest word, a template by that of its first key phrase
         self.rarest = [[max(range(len(k)), key=lambda i, k=k: (self.rarity(k[i]), -i)) for k in ks] for ks in self.keys]
+        self.brings: dict[bytes, list[int]] = {}
+        for t, (ks, rs) in enumerate(zip(self.keys, self.rarest, strict=True)):
+            self.brings.setdefault(ks[0][rs[0]], []).append(t)
         self.needed = [frozenset(x for k in ks for x in k) for ks in self.keys]
-        self.look = {k[r] for ks, rs in zip(self.keys, self.rarest, strict=True) for k, r in zip(ks, rs, strict=True)}
 
     def rarity(self, word: bytes) -> float:
         return self.idf.get(word, math.inf)
 
-    def rare(self, t: int, has: set[bytes]) -> list[bytes]:
-        """The words of highest IDF that the file shares with a template; of a base phrase all its words."""
-        shared = [x for x in self.by_idf[t] if x in has]
-        return shared if self.templates[t].base else shared[:LOOK]
+    def followed(self, has: set[bytes]) -> dict[int, list[bytes]]:
+        """Of each template that the file's words bring in the words to follow: the rarest ones that both have."""
+        found: dict[int, list[bytes]] = {t: [] for x in has if x in self.brings for t in self.brings[x] if self.needed[t] <= has}
+        for x in sorted(has, key=lambda x: (-self.rarity(x), x)) if found else ():
+            here = self.postings[x]
+            for t, follow in found.items():
+                if t in here and (self.templates[t].base or len(follow) < LOOK):
+                    follow.append(x)
+        return found
 
-    def matches(self, t: int, rare: list[bytes], where: dict[bytes, list[int]], words: list[bytes]) -> list[int]:
-        """Where the first key phrase of a template stands in the file with all else that it needs: its places, in order."""
-        slack = self.slack[t]
-        near = lambda places, o: (i := bisect_left(places, o - slack)) < len(places) and places[i] <= o + slack
-        proposals = [sorted({p - q for p in where[x] for q in self.postings[t][x]}) for x in rare]
-        keys = []
+    def agreed(self, t: int, follow: list[bytes], where: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """Ranges of places of the template for which enough of the words propose one within the slack."""
+        slack, steps = self.slack[t], []
+        for x in follow:
+            end = None
+            for o in sorted({p - q for p in where[x] for q in self.postings[x][t]}):
+                if end is None or o - slack > end + 1:
+                    if end is not None:
+                        steps.append((end + 1, -1))
+                    steps.append((o - slack, 1))
+                end = o + slack
+            if end is not None:
+                steps.append((end + 1, -1))
+        enough, n, start, ranges = len(follow) if not slack else (len(follow) + 1) // 2, 0, None, []
+        for at, step in sorted(steps):  # ends come first at a place
+            n += step
+            if n >= enough and start is None:
+                start = at
+            elif n < enough and start is not None:
+                ranges.append((start, at - 1))
+                start = None
+        return ranges
+
+    def matches(self, t: int, follow: list[bytes], where: dict[bytes, list[int]], words: list[bytes]) -> list[int]:
+        """Where the first key phrase of a template stands at an agreed place, with the other key phrases near theirs: in order."""
+        ranges = self.agreed(t, follow, where)
+        if not ranges:
+            return []
+        slack, starts, keys = self.slack[t], [a for a, _ in ranges], []
         for k, r, at in zip(self.keys[t], self.rarest[t], self.at[t], strict=True):
             keys.append([p - r - at for p in where[k[r]] if p >= r and tuple(words[p - r : p - r + len(k)]) == k])
-        enough = len(rare) if not slack else (len(rare) + 1) // 2
-        return [o + self.at[t][0] for o in keys[0] if sum(near(x, o) for x in proposals) >= enough and all(near(x, o) for x in keys[1:])]
+        near = lambda places, o: (i := bisect_left(places, o - slack)) < len(places) and places[i] <= o + slack
+        inside = lambda o: (i := bisect_right(starts, o)) > 0 and o <= ranges[i - 1][1]
+        return [o + self.at[t][0] for o in keys[0] if inside(o) and all(near(x, o) for x in keys[1:])]
 
-    def share(self, t: int, start: int, words: list[bytes]) -> float:
-        """The share of the template's words that stand in the file in its order, each within the slack of the one before."""
+    def strength(self, t: int, start: int, words: list[bytes]) -> float:
+        """The share of the template's words that stand in the file in its order, each within the slack of the one before;
+        less for short templates, so that a name of a licence counts for less than its text."""
         at, found, slack = max(0, start - self.slack[t]), 0, self.slack[t]
         for i, x in enumerate(self.words[t]):
             stop = at + slack + 1 if found else max(0, start + i) + slack + 1
             here = next((p for p in range(at, min(stop, len(words))) if words[p] == x), None)
             if here is not None:
                 at, found = here + 1, found + 1
-        return found / len(self.words[t])
+        return found / len(self.words[t]) * found / (found + EVIDENCE)
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float, list[tuple[int, int]]]:
         """Places of the base phrases, their labels, all labels, score, and the (template, start) matches."""
-        if self.look.isdisjoint(words):
+        if self.brings.keys().isdisjoint(words):
             return [], set(), set(), 0.0, []
-        has = self.vocabulary.intersection(words)
-        alive = {t: self.rare(t, has) for t, needed in enumerate(self.needed) if needed <= has}
-        where: dict[bytes, list[int]] = {x: [] for t, rare in alive.items() for x in (*rare, *(k[r] for k, r in zip(self.keys[t], self.rarest[t], strict=True)))}
+        alive = self.followed(self.vocabulary.intersection(words))
+        where: dict[bytes, list[int]] = {x: [] for t, follow in alive.items() for x in (*follow, *(k[r] for k, r in zip(self.keys[t], self.rarest[t], strict=True)))}
         for p, w in enumerate(words):
             if w in where:
                 where[w].append(p)
         base, base_labels, labels, score, found = [], set(), set(), 0.0, []
-        for t, rare in alive.items():
-            for place in self.matches(t, rare, where, words):
+        for t, follow in sorted(alive.items()):
+            best = len(self.words[t]) / (len(self.words[t]) + EVIDENCE)
+            for place in self.matches(t, follow, where, words):
                 start = place - self.at[t][0]
                 found.append((t, max(0, start)))
                 labels.add(self.templates[t].label)
                 if self.templates[t].base:
                     base.append(place)
                     base_labels.add(self.templates[t].label)
-                if score < 1:
-                    score = max(score, self.share(t, start, words))
+                if score < best:
+                    score = max(score, self.strength(t, start, words))
         return sorted(base), base_labels, labels, score, found
 
 
@@ -207,8 +239,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTI
     """doc_id, n_words, base_places (array), base_labels, labels (arrays, sorted), score and matches of every whole text.
 
     docs: doc_id, text; other columns are ignored. Whole texts are scanned, however long. A null or empty text has no words
-    and no labels, score 0; repeated rows, also of null id, give repeated rows; an empty table gives an empty one. score: the
-    largest share of a matched template's words that stand in order where it matched. matches: array of (label, first word).
+    and no labels, score 0; repeated rows, also of null id, give repeated rows; an empty table gives an empty one. Which words
+    are followed depends on the documents, by their frequencies, and on LOOK; parts of a template may be moved against each
+    other by its slack. score: of the matches the largest share of a template's words that stand in order, f of them found,
+    times f / (f + EVIDENCE). matches: array of (label, first word).
     """
     plain = Index(templates)
     index = Index(templates, document_frequencies(docs, plain.vocabulary))

@@ -73,7 +73,7 @@ def by_hand(words, templates, idf):
                 part = words[left : left + slack + 1 if found else max(0, o + i) + slack + 1]
                 if x in part:
                     left, found = left + part.index(x) + 1, found + 1
-            score = max(score, found / len(own))
+            score = max(score, found / len(own) * found / (found + ls.EVIDENCE))
     return sorted(labels), sorted(base), score
 
 
@@ -100,6 +100,21 @@ def test_labels_and_scores_by_hand(docs):
     assert len({tuple(x) for x, _, _ in want.values()}) > 30 and any(0 < s < 1 for *_, s in want.values())
 
 
+def test_the_table_by_hand(spark, data):
+    """Labels, places and scores of all documents, against the scan without an index."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    idf = ls.document_frequencies(docs, ls.Index(ls.BASE + ls.NOTICES).vocabulary)
+    got = {r.doc_id: (r.labels, r.base_places, r.score) for r in ls.scan_licenses(docs).collect()}
+    want = {r.doc_id: by_hand(ls.split_words(r.text or ""), ls.BASE + ls.NOTICES, idf) for r in docs.collect()}
+    assert got == want and len({s for *_, s in want.values()}) > 2
+
+
+def test_a_name_counts_for_less_than_a_text(docs):
+    whole = next(t.text for t in ls.NOTICES if len(t.text) > 900)
+    got = {r.doc_id: r.score for r in ls.scan_licenses(docs(["mit license", whole, "none"])).collect()}
+    assert 0 == got[2] < got[0] < 0.3 < 0.9 < got[1]
+
+
 def test_edge_rows(docs):
     out = ls.scan_licenses(docs([(None, "mit license"), (1, "mit license"), (1, "mit license")]))
     assert sorted((str(r.doc_id), r.base_places) for r in out.collect()) == [("1", [0]), ("1", [0]), ("None", [0])]
