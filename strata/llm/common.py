@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strata.operators.joins import bytes_of
+from strata.sources.sinks import scratch
 
 #: Bytes of a side that may be broadcast, as bytes_of tells them; beyond it the same join is shuffled.
 BROADCAST_BYTES = 48 << 20
@@ -20,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared spark.checkpoint.dir; under /tmp only in local mode where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.conf.get("spark.master", "").split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/strata-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read back: lineage is cut, and a lost executor loses nothing."""
     path = scratch(df.sparkSession)
@@ -87,22 +78,6 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def bytes_of(side: DataFrame) -> int:
-    """About how many bytes the rows of a materialised side take once broadcast: its values, and 32 a row."""
-    def width(c: Column, kind: T.DataType) -> Column:
-        if isinstance(kind, T.StringType | T.BinaryType):
-            return 16 + F.coalesce(F.octet_length(c), F.lit(0))
-        if isinstance(kind, T.ArrayType):
-            fixed = not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType)
-            return 24 + (8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) if fixed else F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
-        if isinstance(kind, T.StructType):
-            return sum((width(c[f.name], f.dataType) for f in kind), F.lit(16))
-        return F.lit(8)
-
-    rows = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in side.schema), F.lit(32)).cast("long")
-    return side.agg(F.sum(rows)).first()[0] or 0
-
-
 def joined(df: DataFrame, side: DataFrame, on: str | list[str] | Column, how: str, limit: int | None = None) -> DataFrame:
     """df joined with a side that is usually small: broadcast if it has at most `limit` bytes, else shuffled.
 

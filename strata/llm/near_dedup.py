@@ -2,7 +2,8 @@
 
 A document is the multiset of its five-word shingles. Its signature comes from Poisson processes over (shingle, weight
 level): levels are grouped in blocks that double in width, each block has one process whose rate is its width, each
-point gets a level in its block, bit by bit, and a register, and counts only if the level is below the shingle's count.
+point gets a level in its block, drawn at once by 24 bits, and a register, and counts only if the level is below the
+shingle's count.
 The first counting point of a register is the same for two documents with the probability of their weighted Jaccard
 similarity. Only the earliest points are made: time goes on just until every register has one.
 

@@ -107,7 +107,8 @@ def thresholds(rows: DataFrame, stats: tuple[str, ...] = tuple(STATS), fence: fl
             value = (F.coalesce(F.col(f"{group}.{of}"), F.lit(0.0)) * (mine if of != "n_above" else 1) + prior * value) / (mine + prior)
         return value
 
-    every = every.select("key", "stat", drawn("n_above", "n_rows", F.col("all.n_above") / F.col("all.n_rows")).alias("above"), *(F.least(drawn(q, "n_above", F.col(f"all.{q}")), F.lit(MOST)).alias(q) for q in ("q25", "q75")))
+    capped = lambda c: F.when(c > MOST, F.lit(MOST)).otherwise(c)
+    every = every.select("key", "stat", drawn("n_above", "n_rows", F.col("all.n_above") / F.col("all.n_rows")).alias("above"), *(capped(drawn(q, "n_above", F.col(f"all.{q}"))).alias(q) for q in ("q25", "q75")))
     odds = lambda c: F.col(c) / (1 - F.col(c))
     power = F.greatest(F.lit(0.0), fence + RARE * F.log10("above"))
     limit = odds("q75") * F.pow(odds("q75") / odds("q25"), power)

@@ -1,9 +1,11 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import quality_classifier as qc
 from strata.llm import quality_rules as qr
@@ -48,72 +50,126 @@ def test_rules_on_the_table(spark, data):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.2 * len(bad)
 
 
-def shares_of(text):
-    """The five shares of one text, by themselves."""
+def stats_of(text):
+    """(count, of how many) of the five statistics of one text, by themselves."""
     text = text or ""
     n_words, chars, symbols, dup, repeated = counts(text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     marks = sum(c < "\x80" and not c.isalnum() and c not in " \t\n\x0b\x0c\r" for c in text)
     upper = sum("A" <= c <= "Z" for c in text)
-    per = lambda a, b: a / b if b else 0.0
-    return {"symbol_share": per(symbols, chars), "mark_share": per(marks, chars), "upper_share": per(upper, chars), "dup_line_share": per(dup, len(lines)), "repeat_share": per(repeated, n_words)}
+    return {"symbol_share": (symbols, chars), "mark_share": (marks, chars), "upper_share": (upper, chars), "dup_line_share": (dup, len(lines)), "repeat_share": (repeated, n_words)}
 
 
-def verdicts(rows, spread, fence, prior):
-    """kept of each of the rows (id, text, lang, source), by sorting all values."""
+def verdicts(rows, stats, fence, prior):
+    """failed of each of the rows (id, text, lang, source), by sorting all values."""
     def edge(x):
-        return 0.0 if x < qr.LEAST else qr.LEAST * qr.GAMMA ** math.ceil(math.log(x / qr.LEAST) / math.log(qr.GAMMA))
+        return qr.LEAST * qr.GAMMA ** max(0, math.ceil(math.log(x / qr.LEAST) / math.log(qr.GAMMA)))
 
-    shares = [shares_of(r[1]) for r in rows]
+    every, out = [stats_of(r[1]) for r in rows], []
+    base = [n[0] < 10 or 100 * n[4] > 20 * n[0] for n in (counts(r[1]) for r in rows)]
+    known = {}
 
-    def at(members, stat, p):
-        xs = sorted(edge(shares[i][stat]) for i in members)
-        return xs[math.ceil(p * len(xs)) - 1], len(xs)
+    def at(level, stat):
+        """n, n above zero, q25, q75 of the sound documents of a level: (), (lang,) or (lang, source)."""
+        if (level, stat) not in known:
+            shares = [c / of if of else 0 for c, of in (every[j][stat] for j, o in enumerate(rows) if not base[j] and o[2 : 2 + len(level)] == level)]
+            xs = sorted(edge(x) for x in shares if x > 0)
+            known[level, stat] = len(shares), len(xs), *(xs[math.ceil(p * len(xs)) - 1] if xs else 0.0 for p in (0.25, 0.75))
+        return known[level, stat]
 
-    out = []
     for i, r in enumerate(rows):
-        levels = [[j for j, o in enumerate(rows) if o[2 : 2 + n] == r[2 : 2 + n]] for n in (0, 1, 2)]
-        n = counts(r[1])
-        kept = not (n[0] < 10 or 100 * n[4] > 20 * n[0])
-        for stat, least in spread.items():
-            q = {}
-            for p in (0.25, 0.75):
-                q[p], _ = at(levels[0], stat, p)
-                for members in levels[1:]:
-                    own, m = at(members, stat, p)
-                    q[p] = (m * own + prior * q[p]) / (m + prior)
-            kept = kept and shares[i][stat] <= q[0.75] + fence * max(q[0.75] - q[0.25], least) + 1e-12
-        out.append(kept)
+        failed = []
+        for stat in stats:
+            n, above, *q = at((), stat)
+            if not above or not at(tuple(r[2:4]), stat)[0]:
+                continue
+            share = above / n
+            for level in (tuple(r[2:3]), tuple(r[2:4])):
+                n, above, *own = at(level, stat)
+                share = (above + prior * share) / (n + prior)
+                q = [(above * x + prior * y) / (above + prior) for x, y in zip(own, q, strict=True)]
+            low, high = (min(x, qr.MOST) / (1 - min(x, qr.MOST)) for x in q)
+            odds = high * (high / low) ** max(0, fence + qr.RARE * math.log10(share))
+            f, (c, of) = odds / (1 + odds), every[i][stat]
+            if c > f * of + qr.CHANCE * math.sqrt(of * f * (1 - f)) + 1e-9:
+                failed.append(stat)
+        out.append(",".join(failed))
     return out
 
 
+def outcome(df):
+    return sorted((str(r.doc_id), r.failed, r.kept) for r in df.collect())
+
+
+def wanted(rows, *how):
+    base = [n[0] < 10 or 100 * n[4] > 20 * n[0] for n in (counts(r[1]) for r in rows)]
+    return sorted((str(r[0]), f, not b and not f) for r, f, b in zip(rows, verdicts(rows, *how), base, strict=True))
+
+
 def test_fences_by_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{j}{'#' * int(rng.integers(0, 3 if s == 'a' else 1))}" for j in range(int(rng.integers(20, 60)))), lang, s, 0) for i in range(240) for lang, s in [("en", "a" if i % 3 else "b") if i % 20 else (None, "rare")]]
+    rows += [(500 + i, " ".join(f"w{j}{'#' * i}" for j in range(40)), "en", "b", 0) for i in range(8)]
     rows += [rows[5], rows[5], (None, "short", None, None, 0), (900, None, "en", None, 0)]  # repeated rows, null source and id
-    docs = spark.createDataFrame(rows, DOCS)
-    out = sorted((str(r.doc_id), r.kept) for r in qr.judge(docs, {"symbol_share": 0.01}, 1.0, 50).collect())
-    assert out == sorted((str(r[0]), k) for r, k in zip(rows, verdicts(rows, {"symbol_share": 0.01}, 1.0, 50), strict=True))
-    assert len({k for _, k in out}) == 2
+    docs, how = spark.createDataFrame(rows, DOCS), (("symbol_share", "mark_share"), 1.0, 50)
+    got = outcome(qr.judge(docs, *how))
+    assert got == wanted(rows, *how) and len({f for _, f, _ in got}) > 1
 
 
 def test_verdicts_of_the_table_by_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
-    got = {r.doc_id: r.kept for r in qr.judge(docs).collect()}
-    assert got == dict(zip([r[0] for r in rows], verdicts(rows, qr.STATS, qr.FENCE, qr.PRIOR), strict=True))
+    assert outcome(qr.judge(docs)) == wanted(rows, tuple(qr.STATS), qr.FENCE, qr.PRIOR)
+
+
+def thresholds_of(spark, rows, stats):
+    """rows: key and a share of each statistic."""
+    df = spark.createDataFrame([(k, *([x] * len(stats))) for k, x in rows], "key string, " + ", ".join(f"{s} double" for s in stats)).withColumn("lang_key", F.lit("l"))
+    return {(r.key, r.stat): r for r in qr.thresholds(df, stats).collect()}
 
 
 def test_a_group_does_not_jump_with_its_size(spark):
     """99 and 101 rows of a group have nearly one fence, though its language's is another."""
     def limit(n):
-        rows = [(i, "s", 0.0) for i in range(500)] + [(500 + i, "t", 0.02 + 0.0001 * i) for i in range(n)]
-        df = spark.createDataFrame(rows, "i long, key string, x double").selectExpr("key", "'l' lang_key", "x")
-        return qr.fences(df, {"x": 0.001}).where("key = 't'").first().fences["x"]
+        rows = [("s", 0.001 + i * 1e-6) for i in range(500)] + [("t", 0.02 + 0.0001 * i) for i in range(n)]
+        return thresholds_of(spark, rows, ("x",))["t", "x"].fence
 
     assert abs(limit(99) - limit(101)) < 0.02 * limit(100)
 
 
+def test_fences_come_from_the_values(spark):
+    """Ten times larger values of a group give about ten times its fence, a wider spread more; rarer values above zero less."""
+    rng = np.random.default_rng(7)
+    base = 0.004 * np.exp(0.2 * rng.normal(size=3000))
+    rows = [("one", float(x)) for x in base] + [("ten", float(10 * x)) for x in base] + [("wide", float(0.004 * (x / 0.004) ** 2)) for x in base] + [("rare", float(x)) for x in base] + [("rare", 0.0)] * 300_00
+    at = thresholds_of(spark, rows, ("x",))
+    fence = {k: at[k, "x"].fence for k in ("one", "ten", "wide", "rare")}
+    assert fence["rare"] < fence["one"] < fence["wide"] and 6 < fence["ten"] / fence["one"] < 12 and at["rare", "x"].above < 0.2
+    assert fence["one"] > base.max()  # none of a plain spread is past it
+    assert thresholds_of(spark, [("k", 0.0)] * 5, ("x",))["k", "x"].fence is None
+
+
+def test_every_statistic_can_reject(spark):
+    """One document of many is far beyond the others in one statistic each."""
+    rng = np.random.default_rng(2)
+
+    def text(i, symbols=0.03, marks=0.05, upper=0.04, dup=1, rep=1):
+        word = lambda j: f"v{i}z{j}"
+        words = [word(j).upper() if rng.random() < upper else word(j) + "#" if rng.random() < symbols else word(j) + "," if rng.random() < marks else word(j) for j in range(300)]
+        lines = [" ".join(words[j : j + 10]) for j in range(0, 300, 10)]
+        if rng.random() < 0.5 or dup > 1:
+            lines += [f"x{i} y{i}"] * (1 + dup)
+        if rng.random() < 0.5 or rep > 1:
+            lines += [" ".join(f"q{i}w{j}" for j in range(5 + rep))] * 2
+        return "\n".join(lines)
+
+    far = [{"symbols": 0.9}, {"marks": 1.0}, {"upper": 1.0}, {"dup": 60}, {"rep": 30}]
+    rows = [(i, text(i), "en", "s", 0) for i in range(400)] + [(1000 + i, text(1000 + i, **f), "en", "s", 0) for i, f in enumerate(far)]
+    failed = {r.doc_id: r.failed.split(",") for r in qr.judge(spark.createDataFrame(rows, DOCS), fence=1.0).collect()}
+    assert all(stat in failed[1000 + i] for i, stat in enumerate(qr.STATS)), failed
+    assert sum(f != [""] for i, f in failed.items() if i < 1000) <= 20
+
+
 def test_verdicts_by_sql(spark, data):
     import duckdb
 
@@ -156,6 +212,35 @@ def test_isotonic():
     assert (np.diff(v) >= 0).all() and (np.diff(x) > 0).all() and 0 < v[0] < v[-1] < 1
 
 
+def test_fitted_scores_by_brute_force(spark, data):
+    """Scores of the whole table against plain ridge over all features, and pools told by means of all their spans."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None}
+    ids = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 5)
+    x, y = np.array([qc.statistics(docs[i]) for i in ids]), np.array([labels[i] for i in ids], float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    phi, fold = qc.fourier((x - mean) / scale), np.array([zlib.crc32(f"fold {i}".encode()) % qc.FOLDS for i in ids])
+    ridge = np.diag([qc.RIDGE] * qc.FEATURES + [1e-9])
+    solve = lambda p, t: np.linalg.lstsq(np.vstack([p, np.sqrt(ridge)]), np.concatenate([t, np.zeros(len(ridge))]), rcond=None)[0]
+    raw = np.zeros(len(y))
+    for f in set(fold):
+        raw[fold == f] = phi[fold == f] @ solve(phi[fold != f], y[fold != f])
+    bins = {}
+    for r, t in zip(raw, y, strict=True):
+        bins.setdefault(math.floor(min(max(r, -1), 2) * qc.BINS / 3), []).append((r, t))
+    points = [(np.mean([r for r, _ in b]), sum(t for _, t in b), len(b)) for _, b in sorted(bins.items())]
+    span = lambda j, k: sum(p[1] for p in points[j : k + 1]) / sum(p[2] for p in points[j : k + 1])
+    level = [max(min(span(j, k) for k in range(i, len(points))) for j in range(i + 1)) for i in range(len(points))]
+    pools = [[p for p, v in zip(points, level, strict=True) if v == u] for u in sorted(set(level))]
+    knots = [sum(p[0] * p[2] for p in q) / sum(p[2] for p in q) for q in pools]
+    values = np.maximum.accumulate([(sum(p[1] for p in q) + 0.5) / (sum(p[2] for p in q) + 1) for q in pools])
+    weights = solve(phi, y)
+    want = {i: np.interp(qc.fourier((np.array([qc.statistics(t)]) - mean) / scale) @ weights, knots, values)[0] for i, t in docs.items()}
+    got = {r.doc_id: r.quality_score for r in qc.classify(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-5 and len({round(v, 3) for v in got.values()}) > 10
+
+
 def test_held_out_accuracy(spark):
     from strata.llm.queries import op10_quality
 
