@@ -2,6 +2,8 @@ import corpus_pipeline as cp
 from strata.llm import bpe, line_dedup, mixing, near_dedup, quality_classifier
 from strata.llm.common import table
 
+from .conftest import DOCS, ODD
+
 
 def test_stages_against_their_operators(spark, data):
     docs = table(spark, data, "documents")
@@ -30,3 +32,33 @@ def test_stages_against_their_operators(spark, data):
     assert all(b"".join(pairs.bytes[i] for i in r.ids).decode() == texts[r.doc_id] and len(r.ids) == r.n_tokens for r in out)
     whole = cp.run(spark, data).collect()
     assert sorted((r.doc_id, tuple(r.ids)) for r in whole) == sorted((r.doc_id, tuple(r.ids)) for r in out)
+
+
+def write(spark, path, rows, labels):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_edge_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, null sources: every stage gives a defined result."""
+    prose = [" ".join(f"word{i}x{j}" for j in range(40)) + f"\nline {i} of some five words" for i in range(12)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*ODD, *prose])]
+    rows += [rows[12], rows[12], (None, prose[0], "en", "s", 0), (None, prose[0], None, None, 0), (50, prose[3], "en", None, 0), (12, prose[5], "en", "s", 0)]
+    data = write(spark, tmp_path, rows, [(i, int(i > 9), 0) for i in range(22)] + [(None, 1, 0), (12, None, 0)])
+    docs, seen = table(spark, data, "documents"), []
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.materialise(stage(spark, docs, data))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        seen.append([(r.doc_id, r.text) for r in docs.collect()])
+    judged, lines, documents, mixed = seen
+    assert {*judged} <= {(r[0], r[1]) for r in rows} and judged
+    # rows without an id pass both deduplications as they are
+    assert [t for i, t in documents if i is None] == [t for i, t in judged if i is None]
+    assert {*documents} <= {*lines} and {*mixed} <= {*documents}
+    out = cp.run(spark, data).collect()
+    assert len(out) == len(mixed) and all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_empty_table(spark, tmp_path):
+    assert cp.run(spark, write(spark, tmp_path, [], [])).count() == 0
