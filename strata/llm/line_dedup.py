@@ -10,13 +10,15 @@ first exchange hashes of their halves, and only lines that share a half with ano
 
 With `per`, the bound grows: one word per `per` words of the shorter line, one at least. A line of n words has too many
 variants inside a bound of k words, so lines of two edits or more emit variants that stand for all of them: words are dealt
-to 2 * k + 1 classes by their hash, and a variant is the line without all words but those of one class, in any order. An
-edit changes the words of two classes at most, so lines within k edits have one class in common. It holds some ten words
-of all over the line, so lines that just share a passage hardly have one. A line meets the earliest line of each of its
-keys, where lengths and parity masks of words (an edit flips two bits at most) drop pairs inside the join; what is left is
-verified. So a group of a key costs its size, also where thousands of lines lie just beyond the bound of each other. A line
-that is near a later holder of its keys only stays, unless that is within one word; further rounds compare what is left with
-the second holder, the third and so on, and `rounds=None` with all of them.
+to 2 * k + 1 classes by their hash, and a variant is the line without all words but those of one class, in any order. Words
+that repeat in a line are numbered, and a word with its number is what is dealt, so hardly a class is empty; an edit
+takes one such word away, adds one, or both. So it changes the words of two classes at most, and lines within k edits have
+one class in common. It holds some ten words of all over the line, so lines that just share a passage hardly have one. A
+line meets the earliest line of each of its keys, where lengths and parity masks of words (an edit flips two bits at most)
+drop pairs inside the join; what is left is verified. So a group of a key costs its size where its lines are near the
+earliest. What is left may be near a later holder of its keys only: with `rounds=None` it meets all of them, so no near line
+is missed; that costs the square of a group where many lines lie just beyond the bound of each other. `rounds=n` meets n
+holders alone.
 """
 
 from __future__ import annotations
@@ -68,6 +70,24 @@ def hash_words(words: list[bytes], some: int = 1 << 15) -> np.ndarray:
     return out
 
 
+def numbered(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of words with their number among the equal words of their line, in some order in each line of n words.
+
+    So words that repeat are unlike, and an edit still takes one away and adds one at most: the last of its equals.
+    """
+    of = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    part = (of << np.uint64(44)) | (h >> np.uint64(20))  # sorts faster than both
+    order = np.argsort(part)
+    part, own = part[order], h[order]
+    if len(n) >> 20 or ((part[1:] == part[:-1]) & (own[1:] != own[:-1])).any():  # too many lines, or unlike words with like parts
+        order = np.lexsort((h, of))
+        part, own = of[order], h[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
+    at = np.arange(len(own))
+    return mixed(own + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) * BASE)
+
+
 class Lines:
     """Hashes of many lines at once; a line's sum over words of hash * BASE ** position gives those of its parts.
 
@@ -102,8 +122,8 @@ class Lines:
 
     @staticmethod
     def classes(n: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many keys each line of n words has, and the keys: of the words (their hashes h, in a row) of each of its
-        2 * bound + 1 classes; none for bound 0."""
+        """How many keys each line of n words has, and the keys: of the words (their hashes h, in a row; see numbered) of each of
+        its 2 * bound + 1 classes; none for bound 0."""
         n_classes = np.where(bounds > 0, 2 * bounds + 1, 0)
         base, size = np.cumsum(n_classes) - n_classes, int(n_classes.sum())
         of = np.repeat(np.arange(len(n)), n)
@@ -123,7 +143,8 @@ class Lines:
         The bound of a pair is that of its shorter line, so a line of n words has keys for n // per, and for each smaller
         bound of a line so short that the difference of lengths is inside it.
         """
-        n, start, at, run, h = every = self.sums(lines)
+        n, start, _, _, h = every = self.sums(lines)
+        h = numbered(n, h) if per else h
         bits = mixed(h)
         bit, which = np.uint64(1) << (bits & np.uint64(63)), (bits >> np.uint64(6)) % np.uint64(MASKS)
         masks = [np.bitwise_xor.reduceat(np.where(which == i, bit, np.uint64(0)), start).view(np.int64) if len(n) else np.zeros(0, np.int64) for i in range(MASKS)]
@@ -309,26 +330,39 @@ def holders(met: DataFrame, last: DataFrame | None = None) -> DataFrame:
 
 def far_pairs(met: DataFrame, first: DataFrame, per: int) -> DataFrame:
     """Place and first (another place) of lines that may be within a bound of two words or more of the holder of one of their
-    keys. met: key and line (place, n_words, masks) of distinct lines; first: key and first, likewise."""
+    keys. met: key and line (place, n_words, masks) of distinct lines; first: key and first, likewise.
+
+    k edits of lines whose lengths differ by d replace k - d words at most, so 2 * k - d bits of the masks may differ.
+    """
     x, y = F.col("line.n_words"), F.col("first.n_words")
-    k = F.floor(F.least(x, y) / per)
+    k, d = F.floor(F.least(x, y) / per), F.abs(x - y)
     apart = sum((F.bit_count(F.col(f"line.{m}").bitwiseXOR(F.col(f"first.{m}"))) for m in MASK), F.lit(0))
-    pairs = joined(met, first, "key", "inner").where((F.col("first") < F.col("line")) & (F.abs(x - y) <= k) & (apart <= 2 * k))
+    pairs = joined(met, first, "key", "inner").where((F.col("first") < F.col("line")) & (d <= k) & (apart <= 2 * k - d))
     return materialise(pairs.select(*(F.col("line")[c].alias(c) for c in PLACE), F.struct(*(F.col("first")[c].alias(c) for c in PLACE)).alias("first")).distinct())
 
 
+def not_in(met: DataFrame, found: DataFrame) -> DataFrame:
+    """met without the lines at the places of found."""
+    some = materialise(found.select(*(F.col(c).alias(f"of_{c}") for c in PLACE)).distinct())
+    return joined(met, some, F.expr(" and ".join(f"line.{c} = of_{c}" for c in PLACE)), "left_anti")
+
+
 def later_rounds(docs: DataFrame, met: DataFrame, first: DataFrame, close: DataFrame, test: Callable[[list, list], bool], per: int, rounds: int | None) -> DataFrame:
-    """Pairs of lines that aren't in close with the second holder of their keys, the third and so on. A round costs a pass over
-    the keys that have so many lines; their number is the largest group's where rounds is None."""
-    found, n = close, 1
-    while rounds is None or n < rounds:
-        n, first = n + 1, holders(met, first)
+    """close, and pairs of lines that aren't in it with later holders of their keys: the second, the third and so on, a pass
+    each, or all at once where rounds is None."""
+    def more(found, met, others):
+        pairs = far_pairs(not_in(met, found), others, per)
+        return materialise(found.unionAll(verified(pairs, line_texts(docs, pairs.select(*PLACE).unionAll(pairs.select("first.*"))), test)))
+
+    if rounds is None:
+        later = materialise(joined(met, first, "key", "inner").where(F.col("first") < F.col("line")).select("key", "line"))
+        return more(close, later, later.withColumnRenamed("line", "first"))
+    for _ in range(rounds - 1):
+        first = holders(met, first)
         if not first.limit(1).count():
             break
-        left = met.join(found.select(*(F.col(c).alias(f"of_{c}") for c in PLACE)).distinct(), F.expr(" and ".join(f"line.{c} = of_{c}" for c in PLACE)), "left_anti")
-        pairs = far_pairs(left, first, per)
-        found = materialise(found.unionAll(verified(pairs, line_texts(docs, pairs.select(*PLACE).unionAll(pairs.select("first.*"))), test)))
-    return found
+        close = more(close, met, first)
+    return close
 
 
 def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, per: int | None = None, rounds: int | None = 1) -> DataFrame:

@@ -144,3 +144,49 @@ def test_query_has_the_growing_bound(spark, tmp_path):
     b, c = [*a[:10], "x", *a[12:50], "y", *a[50:]], ["x", "y", "z", "v", *a[4:]]
     spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((a, b, c))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_lines_near for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_query_finds_lines_near_a_later_holder_only(spark, tmp_path):
+    """The second line is beyond the bound of the first. The third is within that of the second, but each class key that it
+    shares with the second is the first's too."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(60)]
+    for n in range(100_000):
+        x, changed = list(base), rng.sample(range(60), 4)
+        for at in changed:
+            x[at] = f"x{n}-{at}"
+        y = [*x]
+        for at in changed[1:]:
+            y[at] = f"y{n}-{at}"
+        keys = [{k for k in own if k & 1} for own in ld.Lines().keys([[w.encode() for w in line] for line in (base, x, y)], ld.MIN_WORDS, ld.PER)[1].to_pylist()]
+        if keys[1] & keys[2] <= keys[0]:
+            break
+    rows = [*enumerate(" ".join(line) for line in (base, x, y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert not brute(rows, ld.PER) and not found(ld.duplicate_lines(docs, per=ld.PER))[1]
+    assert {r.doc_id: r.n_lines_near for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 1}
+
+
+def test_lines_of_few_words_share_class_keys_just_if_like():
+    """Words that repeat are numbered: no class is empty in both of two lines, and masks see words that repeat evenly."""
+    rows = [[b"%d-%d" % (i, j) for j in range(8) for _ in range(16)] for i in range(40)]
+    masks, keys = ld.Lines().keys(rows, 8, 20)
+    keys = [{x for x in k if x & 1} for k in keys.to_pylist()]
+    assert not any(a & b for i, a in enumerate(keys) for b in keys[:i])
+    assert len({tuple(int(m[i]) for m in masks) for i in range(40)}) == 40
+
+
+def test_numbered_words():
+    """As by counting, also where parts of hashes are alike."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for words in ([5, 6, 1 << 60], [*range(9)], [1]):
+        n = np.array([rng.randrange(9) for _ in range(50)])
+        h = np.array([rng.choice(words) for _ in range(n.sum())], np.uint64)
+        got, ends = ld.numbered(n, h), np.cumsum(n)
+        for size, end in zip(n.tolist(), ends.tolist(), strict=True):
+            own = h[end - size : end].tolist()
+            want = ld.mixed(np.array([x + own[:i].count(x) * int(ld.BASE) & (1 << 64) - 1 for i, x in enumerate(own)], np.uint64))
+            assert sorted(got[end - size : end].tolist()) == sorted(want.tolist())
+    assert not len(ld.numbered(np.zeros(0, int), np.zeros(0, np.uint64)))
