@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; a document of which no line with a word is left goes."""
-    left = line_dedup.dedup_lines(docs, per=line_dedup.PER)
+    left = line_dedup.dedup_lines(docs, per=line_dedup.PER, rounds=None)
     return left.where((F.col("n_lines_kept") > 0) | (F.col("n_lines_dropped") == 0)).select(*docs.columns)
 
 

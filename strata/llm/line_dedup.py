@@ -410,9 +410,9 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS, per: int | None = N
     return exact.unionByName(close.select(*PLACE, F.lit("near").alias("kind"), "first.first_doc", "first.first_line"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, per: int | None = None, rounds: int | None = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, per: int | None = None, rounds: int | None = None) -> DataFrame:
     """docs with the text of the lines that stay, and n_lines_dropped, n_lines_near (of these, near ones) and n_lines_kept
-    (lines with a word that stay).
+    (lines with a word that stay). Unless `rounds` says otherwise, larger bounds are held against all earlier lines.
 
     docs: doc_id, text; other columns are kept, save of these three names, which are replaced. Rows that repeat an id are
     documents of their own unless their texts are equal too; those are treated alike. A null text stays null; rows with a

@@ -146,9 +146,11 @@ def test_query_has_the_growing_bound(spark, tmp_path):
     assert {r.doc_id: r.n_lines_near for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0}
 
 
-def test_query_finds_lines_near_a_later_holder_only(spark, tmp_path):
+def test_query_and_pipeline_find_lines_near_a_later_holder_only(spark, tmp_path):
     """The second line is beyond the bound of the first. The third is within that of the second, but each class key that it
     shares with the second is the first's too."""
+    import corpus_pipeline
+
     rng, base = random.Random(3), [f"w{i}" for i in range(60)]
     for n in range(100_000):
         x, changed = list(base), rng.sample(range(60), 4)
@@ -165,6 +167,7 @@ def test_query_finds_lines_near_a_later_holder_only(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert not brute(rows, ld.PER) and not found(ld.duplicate_lines(docs, per=ld.PER))[1]
     assert {r.doc_id: r.n_lines_near for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 1}
+    assert {r.doc_id for r in corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()} == {0, 1}
 
 
 def test_lines_of_few_words_share_class_keys_just_if_like():
