@@ -17,8 +17,14 @@ one class in common. It holds some ten words of all over the line, so lines that
 line meets the earliest line of each of its keys, where lengths and parity masks of words (an edit flips two bits at most)
 drop pairs inside the join; what is left is verified. So a group of a key costs its size where its lines are near the
 earliest. What is left may be near a later holder of its keys only: with `rounds=None` it meets all of them, so no near line
-is missed; that costs the square of a group where many lines lie just beyond the bound of each other. `rounds=n` meets n
-holders alone.
+is missed. Holders of a key of FEW or fewer later ones all meet each other. In larger groups, which may hold many lines that
+lie just beyond the bound of each other, lines are told apart by their differences from the earliest holder: the numbered
+words that just one of the two has. What two lines differ in is what their differences differ in, so in any order of words
+that both keep to, lines within k edits share one of the first k + 1 words of the smaller difference and of the first
+2 * k + 1 of the larger (those who share none have few, and meet in a mark that all have). In order of how many of the group
+have them, rarest first, these are a line's own edits, so lines that differ from the earliest each in its own way don't meet.
+What still costs the square of a group is lines of the same words in other orders, and those about as near each other as
+their bound. `rounds=n` meets n holders alone.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import joined, map_columns, map_rows, materialise, part_of, parted
@@ -44,6 +50,8 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 AT_ONCE = 1 << 20
 SAME, WHOLE, LESS = 0, 1, 2
 MASKS = 4
+#: Later holders of a key that all meet each other; those of larger groups meet by their differences from the earliest.
+FEW = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -328,40 +336,113 @@ def holders(met: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return materialise(met.groupBy("key").agg(F.min("line").alias("first")))
 
 
-def far_pairs(met: DataFrame, first: DataFrame, per: int) -> DataFrame:
-    """Place and first (another place) of lines that may be within a bound of two words or more of the holder of one of their
-    keys. met: key and line (place, n_words, masks) of distinct lines; first: key and first, likewise.
+def may_be_near(a: Callable[[str], Column], b: Callable[[str], Column], per: int, apart: Column | None = None) -> Column:
+    """May two lines, of which a and b give the columns n_words and masks, be within a bound of two words or more? apart: how many
+    words they differ in at least.
 
-    k edits of lines whose lengths differ by d replace k - d words at most, so 2 * k - d bits of the masks may differ.
+    k edits of lines whose lengths differ by d replace k - d words at most, so they differ in 2 * k - d words at most, and so
+    many bits of the masks.
     """
-    x, y = F.col("line.n_words"), F.col("first.n_words")
+    x, y = a("n_words"), b("n_words")
     k, d = F.floor(F.least(x, y) / per), F.abs(x - y)
-    apart = sum((F.bit_count(F.col(f"line.{m}").bitwiseXOR(F.col(f"first.{m}"))) for m in MASK), F.lit(0))
-    pairs = joined(met, first, "key", "inner").where((F.col("first") < F.col("line")) & (d <= k) & (apart <= 2 * k - d))
+    bits = sum((F.bit_count(a(m).bitwiseXOR(b(m))) for m in MASK), F.lit(0))
+    near = (d <= k) & (bits <= 2 * k - d)
+    return near if apart is None else (apart <= 2 * k - d) & near
+
+
+def far_pairs(met: DataFrame, first: DataFrame, per: int) -> DataFrame:
+    """Place and first (another place) of lines that may be within a bound of two words or more of the holder of one of their
+    keys. met: key and line (place, n_words, masks) of distinct lines; first: key and first, likewise."""
+    pairs = joined(met, first, "key", "inner").where((F.col("first") < F.col("line")) & may_be_near(lambda c: F.col(f"line.{c}"), lambda c: F.col(f"first.{c}"), per))
     return materialise(pairs.select(*(F.col("line")[c].alias(c) for c in PLACE), F.struct(*(F.col("first")[c].alias(c) for c in PLACE)).alias("first")).distinct())
 
 
+def differences(members: DataFrame, some: DataFrame) -> DataFrame:
+    """members (line, FIRST: another line's place, left) with the numbered words (hashes) that just one of the two lines has, and
+    a mark that all have. some: place and line of both."""
+    flat = members.select(*(F.col("line")[c].alias(c) for c in (*PLACE, "n_words", *MASK)), *FIRST, "left")
+    both = flat.join(some, PLACE).join(some.toDF(*FIRST, "other"), FIRST)
+    kept = [*PLACE, "n_words", *MASK, *FIRST, "left"]
+
+    def make():
+        def handle(batch):
+            words = [words_of(x) for name in ("line", "other") for x in batch[name]]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            h = np.split(numbered(n, hash_words(list(chain.from_iterable(words)))).view(np.int64), np.cumsum(n)[:-1])
+            for *own, a, b in zip(*(batch[c] for c in kept), h[: len(h) // 2], h[len(h) // 2 :], strict=True):
+                yield *own, [0, *np.setxor1d(a, b, assume_unique=True).tolist()]
+        return handle
+
+    return materialise(map_rows(both, make, f"{PLACED}, n_words int, {', '.join(f'{m} long' for m in MASK)}, first_doc long, first_part long, first_line int, left boolean, words array<long>"))
+
+
+def pairs_by_differences(differing: DataFrame, per: int) -> DataFrame:
+    """As far_pairs, of lines (differing: as of differences) that differ from the same one, where the later line is marked left.
+
+    Lines within k edits differ in 2 * k words at most, so the smaller difference has k at most that the larger lacks. Before
+    the first word that both have, in any order, stand only words that one has.
+    """
+    each = differing.select(*PLACE, "n_words", *MASK, *FIRST, "left", F.size("words").alias("size"), F.explode("words").alias("word"))
+    shared = materialise(each.groupBy(*FIRST, "word").agg(F.count("*").alias("n")).where("n > 1"))
+    own = Window.partitionBy(*FIRST, *PLACE)
+    # words that no other line has come first, and no pair meets in them
+    rank = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "word"))
+    ranked = joined(each, shared, [*FIRST, "word"], "inner").withColumn("rank", rank).where(F.col("rank") <= 2 * F.floor(F.col("n_words") / per) + 1)
+    ranked = materialise(ranked.select(*FIRST, "word", F.struct("size", *PLACE, "rank", "n_words", *MASK, "left").alias("b")))
+    fewer = ranked.where(F.col("b.rank") <= F.floor(F.col("b.n_words") / per) + 1).withColumnRenamed("b", "a")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    earlier = F.struct(*map(a, PLACE)) < F.struct(*map(b, PLACE))
+    apart = a("rank") + b("rank") - 2 + F.abs(a("size") - a("rank") - b("size") + b("rank"))
+    ordered = (a("size") < b("size")) | (a("size") == b("size")) & earlier
+    on = [*FIRST, "word"]
+    met = fewer.where("a.left").join(ranked, on).unionAll(fewer.where("not a.left").join(ranked.where("b.left"), on))  # of two that aren't left, none is asked for
+    pairs = met.where(ordered & F.when(earlier, b("left")).otherwise(a("left")) & may_be_near(a, b, per, apart))
+    later, before = (F.when(earlier, F.struct(*map(x, PLACE))).otherwise(F.struct(*map(y, PLACE))) for x, y in ((b, a), (a, b)))
+    return materialise(pairs.select(later.alias("line"), before.alias("first")).distinct().select("line.*", "first"))
+
+
 def not_in(met: DataFrame, found: DataFrame) -> DataFrame:
     """met without the lines at the places of found."""
     some = materialise(found.select(*(F.col(c).alias(f"of_{c}") for c in PLACE)).distinct())
     return joined(met, some, F.expr(" and ".join(f"line.{c} = of_{c}" for c in PLACE)), "left_anti")
 
 
+def large_groups(docs: DataFrame, later: DataFrame, first: DataFrame, large: DataFrame, close: DataFrame, per: int) -> DataFrame:
+    """As far_pairs, of lines that aren't in close with the later holders of their large keys. later: the later holders; first: the
+    earliest.
+
+    Any line that is one for a whole group will do to differ from. An earliest holder that is a later one of other large keys
+    gives way to the earliest of those, so that like groups are one, and their lines meet once.
+    """
+    of = materialise(joined(first, large, "key", "inner").select("key", *(F.col("first")[a].alias(b) for a, b in zip(PLACE, FIRST, strict=True))))
+    members = materialise(joined(later, of, "key", "inner").select("line", *FIRST).distinct())
+    way = materialise(members.groupBy(*(F.col("line")[c].alias(c) for c in PLACE)).agg(F.min(F.struct(*FIRST)).alias("to")).join(of.select(*(F.col(a).alias(b) for a, b in zip(FIRST, PLACE, strict=True))).distinct(), PLACE).toDF(*FIRST, "to"))
+    members = joined(members, way, FIRST, "left").select("line", *(F.coalesce(F.col("to")[c], c).alias(c) for c in FIRST)).distinct()
+    found = materialise(close.select(*(F.col(c).alias(f"of_{c}") for c in PLACE)).distinct())
+    members = materialise(joined(members, found, F.expr(" and ".join(f"line.{c} = of_{c}" for c in PLACE)), "left").select("line", *FIRST, F.col("of_doc_id").isNull().alias("left")))
+    some = line_texts(docs, members.select(*(F.col("line")[c].alias(c) for c in PLACE)).unionAll(members.select(*FIRST)))
+    return pairs_by_differences(differences(members, some), per)
+
+
 def later_rounds(docs: DataFrame, met: DataFrame, first: DataFrame, close: DataFrame, test: Callable[[list, list], bool], per: int, rounds: int | None) -> DataFrame:
     """close, and pairs of lines that aren't in it with later holders of their keys: the second, the third and so on, a pass
     each, or all at once where rounds is None."""
-    def more(found, met, others):
-        pairs = far_pairs(not_in(met, found), others, per)
+    def more(found, pairs):
         return materialise(found.unionAll(verified(pairs, line_texts(docs, pairs.select(*PLACE).unionAll(pairs.select("first.*"))), test)))
 
     if rounds is None:
         later = materialise(joined(met, first, "key", "inner").where(F.col("first") < F.col("line")).select("key", "line"))
-        return more(close, later, later.withColumnRenamed("line", "first"))
+        large = materialise(later.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("key"))
+        few = joined(later, large, "key", "left_anti")
+        pairs = far_pairs(not_in(few, close), few.withColumnRenamed("line", "first"), per)
+        if not large.isEmpty():
+            pairs = materialise(pairs.unionAll(large_groups(docs, later, first, large, close, per)).distinct())
+        return more(close, pairs)
     for _ in range(rounds - 1):
         first = holders(met, first)
         if not first.limit(1).count():
             break
-        close = more(close, met, first)
+        close = more(close, far_pairs(not_in(met, close), first, per))
     return close
 
 

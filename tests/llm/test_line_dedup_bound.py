@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strata.llm import common
 from strata.llm import line_dedup as ld
@@ -170,6 +171,64 @@ def test_query_and_pipeline_find_lines_near_a_later_holder_only(spark, tmp_path)
     assert {r.doc_id for r in corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()} == {0, 1}
 
 
+def by_all_pairs(rows, per):
+    """Places of the rows (doc_id, a line) that are within their bound of an earlier one."""
+    some = [(i, [x.encode() for x in line.split()]) for i, line in rows]
+    return {(i, 0) for n, (i, w) in enumerate(some) if any(abs(len(v) - len(w)) <= (k := max(1, min(len(v), len(w)) // per)) and ld.within(v, w, k) for _, v in some[:n])}
+
+
+def test_lines_that_differ_each_in_its_own_way_do_not_all_meet(docs, monkeypatch):
+    """Not even before their lengths and masks are looked at."""
+    rng, base, rows = random.Random(9), [f"w{i}" for i in range(60)], []
+    for i in range(300):
+        line = rows[i - 100][1].split() if i % 50 == 49 and i > 100 else [*base]
+        for at in rng.sample(range(60), 2 if line != base else 5):
+            line[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(line)))
+    far_pairs, verified, most, tried = ld.far_pairs, ld.verified, [], []
+
+    def far(met, first, per):
+        most.append(met.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return far_pairs(met, first, per)
+
+    def counted(pairs, some, test):
+        tried.append(pairs.count())
+        return verified(pairs, some, test)
+
+    monkeypatch.setattr(ld, "FEW", 0, raising=False)
+    monkeypatch.setattr(ld, "may_be_near", lambda *_: F.lit(True), raising=False)
+    monkeypatch.setattr(ld, "far_pairs", far)
+    monkeypatch.setattr(ld, "verified", counted)
+    near = found(ld.duplicate_lines(docs(rows), per=20, rounds=None))[1]
+    assert near == by_all_pairs(rows, 20) == {(149, 0), (199, 0), (249, 0), (299, 0)}
+    assert most[0] > 50 and most[1:] == [0] and tried[-1] < 30
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_large_groups_as_by_all_pairs(docs, monkeypatch, few):
+    """Also lines of one word over and over with some of their own, of the same words in other orders, and about their bound."""
+    rng, rows = random.Random(6), set()
+    word = lambda: f"w{rng.randrange(900)}"
+    for n in (40, 60, 61, 100):
+        base = [word() for _ in range(n)]
+        for _ in range(25):
+            line = edited(rng, base, rng.randrange(2 * n // 20 + 3), word)
+            at = rng.randrange(len(line))
+            rows |= {" ".join(line), " ".join(line[at:] + line[:at])}
+    for _ in range(40):
+        line = ["x"] * rng.randrange(290, 310) + [word() for _ in range(rng.randrange(8, 24))]
+        rng.shuffle(line)
+        rows.add(" ".join(line))
+        rows.add(" ".join(sorted(line)))
+    rows = [*enumerate(rng.sample(sorted(rows), len(rows)))]
+    monkeypatch.setattr(ld, "FEW", few, raising=False)
+    every = by_all_pairs(rows, 20)
+    assert found(ld.duplicate_lines(docs(rows), per=20))[1] < every
+    assert found(ld.duplicate_lines(docs(rows), per=20, rounds=None))[1] == every
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # all joins are shuffled
+    assert found(ld.duplicate_lines(docs(rows), per=20, rounds=None))[1] == every
+
+
 def test_lines_of_few_words_share_class_keys_just_if_like():
     """Words that repeat are numbered: no class is empty in both of two lines, and masks see words that repeat evenly."""
     rows = [[b"%d-%d" % (i, j) for j in range(8) for _ in range(16)] for i in range(40)]
