@@ -62,3 +62,20 @@ def test_edge_rows(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert cp.run(spark, write(spark, tmp_path, [], [])).count() == 0
+
+
+def test_lines_of_a_large_group_do_not_all_meet(spark, docs, monkeypatch):
+    """60 lines differ from one in 5 words each, beyond the bound of each other; one more is near one of them."""
+    base = [f"w{i}" for i in range(60)]
+    some = [[f"x{i}-{j}" if (j - 7 * i) % 12 == 0 else w for j, w in enumerate(base)] for i in range(60)]
+    some.append([*some[30][:58], "the", "end"])
+    far_pairs, most = line_dedup.far_pairs, []
+
+    def far(met, first, per):
+        most.append(max((r["count"] for r in met.groupBy("key").count().collect()), default=0))
+        return far_pairs(met, first, per)
+
+    monkeypatch.setattr(line_dedup, "FEW", 8, raising=False)
+    monkeypatch.setattr(line_dedup, "far_pairs", far)
+    left = cp.distinct_lines(spark, docs([" ".join(x) for x in some]), "")
+    assert {r.doc_id for r in left.collect()} == {*range(60)} and most[0] > 8 >= most[1]
