@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from strata.spec import ERROR_KEYS
 
 CORRUPT = "_corrupt_record"
+#: Ends a document in a file of many: JSON text has this character only escaped, and may have newlines.
+RECORD = "\x1e"
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = "*.json", multi_line: bool = True) -> DataFrame:
@@ -62,9 +64,12 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """path and value (the whole text) of each document."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+def read_documents(spark: SparkSession, path: str, glob: str = "*.json", separator: str | None = None) -> DataFrame:
+    """path and value (the whole text) of each document. A file is one document; with a separator, such as RECORD, it holds
+    many, each ended by one, and several tasks may share it."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    reader = reader.option("lineSep", separator) if separator else reader.option("wholetext", True)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

@@ -169,6 +169,22 @@ def test_errors_and_documents(spark, tmp_path):
     assert {r["Meta Data"] and r["Meta Data"]["2. Symbol"] for r in readers.parse_documents(data, series_schema(DAILY_SERIES)).collect()} == {"B", None}
 
 
+def test_files_of_many_documents(spark, tmp_path, monkeypatch, data):
+    """Documents of several lines stay whole, and the raw files of a query are fewer than its documents by far: a file each took all its time."""
+    from strata.plans import catalog
+
+    texts = ['{"Note":\n "slow down"}', '{"a": 1,\r\n"b": "\\u001e"}', '{"a": 2}']
+    spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.option("lineSep", readers.RECORD).text(f"{tmp_path}/many")
+    read = readers.read_documents(spark, f"{tmp_path}/many", "*.txt", readers.RECORD)
+    assert sorted(r.value for r in read.collect()) == sorted(texts)
+    good, errors = readers.split_error_payloads(read)
+    assert good.count() == 2 and [r.error for r in errors.collect()] == ["slow down"]
+    monkeypatch.setattr(catalog.sinks, "scratch", lambda spark: f"{tmp_path}/raw")
+    counted = catalog.QUERIES["guard_raw_files"](spark, data).agg(F.sum("n")).first()[0]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert counted == docs.count() and len([*(tmp_path / "raw").rglob("*.txt")]) <= docs.rdd.getNumPartitions() + counted // catalog.PAGE
+
+
 def test_partition_overwrite(spark, tmp_path):
     df = spark.createDataFrame([(1, 2000), (2, 2001)], "a int, y int")
     sinks.write_parquet(df, f"{tmp_path}/p", ("y",))
